@@ -92,3 +92,23 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
             .withColumn(name, F.col("_offset")
                         + F.coalesce(F.sum(value).over(earlier("_block")), F.lit(0)))
             .select(*df.columns, name))
+
+
+def number_copies(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Add `name`, which numbers the rows of a key from 0 in no particular order.
+
+    Rows stay where they lie: each input partition numbers its own rows of a key,
+    starting after the counts of the partitions before it. A key may hold any share
+    of the rows.
+    """
+    rows = materialize(df.withColumn("_at", F.monotonically_increasing_id()), "copies")
+    rows = rows.withColumn("_block", F.shiftright("_at", _BLOCK_BITS))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
+        Window.unboundedPreceding, -1)
+    starts = (rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
+              .select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0))
+                      .alias("_offset")))
+    local = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy("_at")) - 1
+    return (rows.withColumn("_local", local).join(starts, [*keys, "_block"])
+            .withColumn(name, F.col("_offset") + F.col("_local"))
+            .select(*df.columns, name))
