@@ -29,8 +29,8 @@ def text_documents(spark: SparkSession, root: str) -> DataFrame:
 
     `path` is relative to `root`. Bytes that are not UTF-8 are dropped.
     """
-    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-             .option("pathGlobFilter", TEXT_FILES).text(root)
+    files = (spark.read.option("pathGlobFilter", TEXT_FILES)
+             .text(root, wholetext=True, recursiveFileLookup=True)
              .select(F.col("_metadata.file_path").alias("uri"),
                      F.regexp_replace("value", "�", "").alias("text")))
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
