@@ -1,8 +1,8 @@
 """All registered queries and their SQL."""
 
-from procwatch.plans import governance, learning, signals
+from procwatch.plans import governance, knowledge, learning, signals
 
-_MODULES = (signals, learning, governance)
+_MODULES = (signals, learning, governance, knowledge)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: text for module in _MODULES for name, text in module.ORACLES.items()}

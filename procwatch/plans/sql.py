@@ -43,6 +43,106 @@ ev AS (SELECT 'evt-' || param || '-' || window_start AS event_id, param, asset,
        FROM scored WHERE p_raw > 0.30::DOUBLE OR zone <> 'control')"""
 
 
+WS = "[\\t-\\r\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+def words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array({text}, '{WS}+'), lambda w: w <> '')"
+
+
+PARAM_LIST = "['temp', 'ph', 'press', 'cond', 'hum']"
+
+# Documents have no blank lines, so a document is one paragraph and only the hard cut is at work.
+CHUNKS = f"""
+docw AS (SELECT doc_id, ['sop', 'oem', 'deviation'][CAST(doc_id % 3 AS INT) + 1] AS source_type,
+                {PARAM_LIST}[CAST(doc_id % 6 AS INT) + 1] AS param,
+                regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS body, {words('text')} AS ws
+         FROM documents),
+doccut AS (SELECT *, unnest(CASE WHEN len(ws) * 2 <= 660 THEN [CAST(0 AS BIGINT)] ELSE range(0, len(ws), 180) END) AS i
+           FROM docw WHERE len(ws) > 0),
+chunks AS (SELECT doc_id, source_type, param, CAST(i // 180 AS BIGINT) AS chunk_no,
+      substr(sha1(source_type || '/' || doc_id || '.txt::' || (i // 180)), 1, 16) AS chunk_id,
+      CASE WHEN len(ws) * 2 <= 660 THEN body ELSE array_to_string(ws[i + 1:i + 220], ' ') END AS text
+      FROM doccut)"""
+
+BUCKET = ("(256 * (" + " + ".join(
+    f"('0x' || substr(md5(t), {4 * i + 1}, 4))::BIGINT" for i in range(7))
+    + ") + ('0x' || substr(md5(t), 29, 4))::BIGINT) % 384")
+
+RECORDS = f"""
+records AS (
+  SELECT 'capa' AS source_type, 'CAPA-' || o_orderkey AS source_id, {PARAM_LIST}[CAST(o_custkey % 5 AS INT) + 1] AS param,
+         'A-' || (o_custkey % 7) AS asset, strftime(o_orderdate, '%Y-%m-%d') AS effective_date,
+         'CAPA record CAPA-' || o_orderkey || ' for ' || {PARAM_LIST}[CAST(o_custkey % 5 AS INT) + 1] || ' on asset A-'
+           || (o_custkey % 7) || ', opened ' || strftime(o_orderdate, '%Y-%m-%d') || '. Problem: Priority '
+           || o_orderpriority || ' Root cause: Order status ' || o_orderstatus || ' Corrective action taken: Settled '
+           || CAST(floor(o_totalprice) AS BIGINT) || ' Effectiveness: '
+           || CASE WHEN o_orderkey % 4 <> 0 THEN 'Effective' ELSE 'None' END
+           || '. Recurrence after action: none recorded.' AS text,
+         substr(sha1('capa/capa_records.csv::CAPA-' || o_orderkey || '::' || o_orderkey), 1, 16) AS chunk_id
+  FROM orders
+  UNION ALL
+  SELECT 'maintenance', 'WO-' || p_partkey, {PARAM_LIST}[CAST(p_partkey % 5 AS INT) + 1], 'A-' || (p_partkey % 7), NULL,
+         'Maintenance work order WO-' || p_partkey || ' on A-' || (p_partkey % 7) || ' (' || p_name
+           || ') completed None. Trigger: ' || p_type || '. Action: ' || p_brand || '. Findings: Size ' || p_size
+           || '. Downtime: ' || p_size || ' minutes. Technician note: -',
+         substr(sha1('capa/maintenance_log.csv::WO-' || p_partkey || '::' || p_partkey), 1, 16)
+  FROM part
+  UNION ALL
+  SELECT 'batch', 'B-' || c_custkey, {PARAM_LIST}[CAST(c_custkey % 5 AS INT) + 1], NULL, NULL,
+         'Batch record B-' || c_custkey || ' for molecule ' || c_mktsegment || ', phase Phase ' || c_nationkey
+           || '. Parameter ' || {PARAM_LIST}[CAST(c_custkey % 5 AS INT) + 1] || ' held ' || c_name
+           || ' with observed range ' || CAST(floor(c_acctbal) AS BIGINT) || '. Deviations: none. Disposition: Released.',
+         substr(sha1('batch/batch_records.json::B-' || c_custkey || '::' || c_custkey), 1, 16)
+  FROM customer)"""
+
+INDEX = CHUNKS + f""",
+tok AS (SELECT chunk_id, source_type, param, {words('lower(text)')} AS ts FROM chunks),
+post AS (SELECT chunk_id, t AS term, count(*) AS tf
+         FROM (SELECT chunk_id, unnest(ts) AS t FROM tok) GROUP BY ALL),
+size AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tok),
+stats AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+idf AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf FROM stats, size),
+bk AS (SELECT chunk_id, {BUCKET} AS bucket, count(*) AS n
+       FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM chunks)
+       GROUP BY ALL),
+nrm AS (SELECT chunk_id, sqrt(sum(n * n)) AS norm FROM bk GROUP BY chunk_id)"""
+
+SEARCH = INDEX + f""",
+q AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text, {PARAM_LIST}[CAST(item_id % 6 AS INT) + 1] AS qparam,
+             CASE item_id % 4 WHEN 0 THEN ['sop'] WHEN 1 THEN ['oem', 'deviation']
+                              WHEN 2 THEN ['deviation'] END AS qtypes FROM benchmark),
+qpost AS (SELECT query_id, t AS term, count(*) AS qn
+          FROM (SELECT query_id, unnest({words('lower(text)')}) AS t FROM q) GROUP BY ALL),
+lexm AS (SELECT query_id, chunk_id, sum(qn * (CASE WHEN idf.idf < 0 THEN 0.25::DOUBLE * (SELECT avg(idf) FROM idf) ELSE idf.idf END)
+              * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(tok.ts) / (SELECT avgdl FROM size)))) AS lex
+         FROM qpost JOIN idf USING (term) JOIN post USING (term) JOIN tok USING (chunk_id)
+         GROUP BY query_id, chunk_id),
+qb AS (SELECT query_id, {BUCKET} AS bucket, count(*) AS qn
+       FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM q) GROUP BY ALL),
+qnrm AS (SELECT query_id, sqrt(sum(qn * qn)) AS qnorm FROM qb GROUP BY query_id),
+densem AS (SELECT query_id, chunk_id, sum(qn * n) / (any_value(norm) * any_value(qnorm)) AS dense
+           FROM qb JOIN bk USING (bucket) JOIN nrm USING (chunk_id) JOIN qnrm USING (query_id)
+           GROUP BY query_id, chunk_id),
+pairs AS (SELECT q.query_id, tok.chunk_id,
+                 (qparam IS NULL OR param IS NULL OR param = qparam)
+                 AND (qtypes IS NULL OR list_contains(qtypes, source_type)) AS fits FROM q, tok),
+cand AS (SELECT p.query_id, p.chunk_id, coalesce(lex, 0) AS lex, coalesce(dense, 0) AS dense
+         FROM (SELECT *, bool_or(fits) OVER (PARTITION BY query_id) AS any_fits FROM pairs) p
+         LEFT JOIN lexm USING (query_id, chunk_id) LEFT JOIN densem USING (query_id, chunk_id)
+         WHERE fits OR NOT any_fits),
+normed AS (SELECT query_id, chunk_id, lex, dense,
+      (dense - min(dense) OVER w) / CASE WHEN max(dense) OVER w = min(dense) OVER w THEN 1 ELSE max(dense) OVER w - min(dense) OVER w END AS d,
+      (lex - min(lex) OVER w) / CASE WHEN max(lex) OVER w = min(lex) OVER w THEN 1 ELSE max(lex) OVER w - min(lex) OVER w END AS l
+      FROM cand WINDOW w AS (PARTITION BY query_id)),
+hyb AS (SELECT *, round(0.6::DOUBLE * d + 0.4::DOUBLE * l, 9) AS score FROM normed),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM hyb)"""
+
+
+def with_ctes(ctes: str, body: str) -> str:
+    return _attach(ctes, body)
+
+
 def _attach(ctes: str, body: str) -> str:
     body = body.strip()
     return f"WITH {ctes}\n{body if body.startswith(',') else body}"
