@@ -66,8 +66,7 @@ def chunk_text(text: Column, size: int = fv.CHUNK_WORDS, overlap: int = fv.CHUNK
     """The chunks of a text: paragraphs packed to `size` words, oversized ones re-cut."""
     paras = paragraphs(text, separator)
     packed = F.when(F.size(paras) > 1, pack_paragraphs(paras, size, overlap)).otherwise(paras)
-    cut = F.flatten(F.transform(packed, lambda c: hard_split(c, size, overlap)))
-    return F.filter(cut, lambda c: strip(c) != "")
+    return F.flatten(F.transform(packed, lambda c: hard_split(c, size, overlap)))
 
 
 def _meta_lines(text: Column) -> Column:

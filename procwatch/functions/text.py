@@ -12,7 +12,8 @@ _WS = fv.WHITE_SPACE
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_WS}+|{_WS}+$", "")
+    """Text without white space at its ends; one greedy match, which is quick on long texts."""
+    return F.regexp_extract(text, f"(?s)^{_WS}*(.*[^{_WS[1:-1]}])", 1)
 
 
 def words(text: Column) -> Column:

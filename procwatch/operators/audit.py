@@ -1,9 +1,9 @@
 """Hash-chained audit log: build, verify, compare with an earlier snapshot."""
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from procwatch import fixed_values as fv
@@ -44,21 +44,32 @@ def build_chain(rows: DataFrame, chain: str, order: str, segment_rows: int = SEG
         numbered = ordering.number_rows(texts, [chain], [order])
         cut = numbered.withColumn(
             "segment", F.floor(F.col("_idx") / segment_rows).cast("long")).drop("_idx")
-    cut = cut.withColumn("_start", segment_start(F.col("segment")))
-    kept = [f for f in cut.schema.fields if f.name not in ("_text", "_start")]
-    schema = T.StructType([*kept, T.StructField("prev_hash", T.StringType()),
+    kept = [c for c in cut.columns if c != "_text"]
+    schema = T.StructType([*[f for f in cut.schema.fields if f.name != "_text"],
+                           T.StructField("prev_hash", T.StringType()),
                            T.StructField("row_hash", T.StringType())])
 
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        last, before, after = group["_start"].iat[0], [], []
-        for text in group["_text"]:
-            before.append(last)
-            last = hashlib.sha256((last + text).encode()).hexdigest()
-            after.append(last)
-        return group.assign(prev_hash=before, row_hash=after)[[f.name for f in schema.fields]]
-
-    return cut.groupBy(chain, "segment").applyInPandas(link, schema)
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, None
+        for batch in batches:
+            before, after = [], []
+            for of, segment, text in zip(*[batch[c].to_pylist() for c in (chain, "segment", "_text")]):
+                if at != (of, segment):
+                    at, last = (of, segment), _segment_start(segment)
+                before.append(last)
+                last = hashlib.sha256((last + text).encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch[c] for c in kept], pa.array(before, pa.string()),
+                 pa.array(after, pa.string())], names=schema.names)
+
+    # whole segments per task, streamed in order: a task holds one batch and the last hash
+    return (cut.repartition(chain, "segment").sortWithinPartitions(chain, "segment", order)
+            .mapInArrow(link, schema))
+
+
+def _segment_start(segment: int) -> str:
+    return fv.GENESIS if segment == 0 else f"{fv.GENESIS}:{segment}"
 
 
 def anchor_segments(chained: DataFrame, chain: str, order: str,

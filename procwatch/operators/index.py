@@ -126,9 +126,10 @@ class Index:
 
     @classmethod
     def of(cls, chunks: DataFrame) -> "Index":
-        """Index chunks. The entries are written once, as every search reads them again."""
+        """Index chunks. All parts are written once, as every search reads them again."""
         entries = materialize(index_chunks(chunks), "entries")
-        return cls(chunks, entries, term_stats(entries), corpus_size(entries))
+        return cls(chunks, entries, materialize(term_stats(entries), "terms"),
+                   materialize(corpus_size(entries), "size"))
 
     def write(self, folder: str) -> None:
         """Store chunks, entries and statistics; searches then read instead of counting."""

@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from procwatch.operators import ordering
+from procwatch.session import materialize
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -34,9 +35,9 @@ def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str], **limits:
     Rows are first combined per distinct score, then one running count of the
     negatives below each score gives the rank sum.
     """
-    per_score = df.groupBy(*by, score).agg(
+    per_score = materialize(df.groupBy(*by, score).agg(
         F.sum(F.col(label).cast("long")).alias("_pos"),
-        F.sum(1 - F.col(label).cast("long")).alias("_neg"))
+        F.sum(1 - F.col(label).cast("long")).alias("_neg")), "per-score")
     below = ordering.running_total(per_score, list(by), [score], "_neg", "_below", **limits)
     sums = below.groupBy(*by).agg(
         F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / F.lit(2.0))).alias("_won"),

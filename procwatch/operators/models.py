@@ -18,6 +18,7 @@ from procwatch.session import materialize
 
 SERVING = ["v_avg", "v_std", "v_delta"]
 FOURIER_FEATURES = 96
+ROWS_PER_TASK = 100_000
 KINDS = {p["id"]: p["model"] for p in fv.PARAMETERS}
 
 
@@ -57,7 +58,7 @@ def _svm(train: DataFrame, c: float = 2.0) -> PipelineModel:
     fourier = _fourier(train, 1.0 / len(SERVING), FOURIER_FEATURES)
     margin = Pipeline(stages=[
         fourier, _assembler([f"_f{j}" for j in range(FOURIER_FEATURES)], "_x"),
-        LinearSVC(featuresCol="_x", weightCol="weight", maxIter=100,
+        LinearSVC(featuresCol="_x", weightCol="weight", maxIter=100, tol=1e-3,
                   regParam=1.0 / (c * max(train.count(), 1)), rawPredictionCol="_margin",
                   predictionCol="_side")]).fit(weighted)
     platt = LogisticRegression(featuresCol="_margin", weightCol="weight").fit(
@@ -119,8 +120,10 @@ def fit_parameter(training: DataFrame, param: str, key: list[str]) -> Fitted | N
     if shape["classes"] < 2:
         return None
     kind = KINDS[param]
-    model = fit(rows.where("split = 'train'").select(*SERVING, F.col("label").cast("double")
-                                                     .alias("label")), kind)
+    # an iteration runs one task per partition, so few rows should be few partitions
+    train = rows.where("split = 'train'").select(*SERVING, F.col("label").cast("double").alias(
+        "label")).coalesce(max(1, shape["n_train"] // ROWS_PER_TASK))
+    model = fit(train, kind)
     test = materialize(score(model, rows.where("split = 'test'")), "predictions")
     measured = {**metrics.classification_metrics(test, "label", "p", ["param"]).first().asDict(),
                 **metrics.roc_auc(test, "label", "p", ["param"]).first().asDict()}

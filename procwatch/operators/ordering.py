@@ -27,24 +27,24 @@ def _blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFra
     """Rows with the block they fall in and their position in it, written once."""
     ranged = (df.repartitionByRange(*keys, *order)
               .sortWithinPartitions(*keys, *order)
-              .withColumn("_at", F.monotonically_increasing_id()))
+              .withColumn("_ord_at", F.monotonically_increasing_id()))
     return materialize(ranged, "ordered").select(
         *df.columns,
-        F.shiftright("_at", _BLOCK_BITS).alias("_block"),
-        F.col("_at").bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1)).alias("_pos"))
+        F.shiftright("_ord_at", _BLOCK_BITS).alias("_ord_block"),
+        F.col("_ord_at").bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1)).alias("_ord_pos"))
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add `_idx`, the row's number from 0 within its key. `order` must be unique per key."""
     rows = _blocks(df, keys, order)
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
+    before = Window.partitionBy(*keys).orderBy("_ord_block").rowsBetween(
         Window.unboundedPreceding, -1)
-    starts = (rows.groupBy(*keys, "_block")
-              .agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
-              .select(*keys, "_block", "_first",
-                      F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
-    return (rows.join(starts, [*keys, "_block"])
-            .withColumn("_idx", F.col("_offset") + F.col("_pos") - F.col("_first"))
+    starts = (rows.groupBy(*keys, "_ord_block")
+              .agg(F.min("_ord_pos").alias("_ord_first"), F.count(F.lit(1)).alias("_ord_n"))
+              .select(*keys, "_ord_block", "_ord_first",
+                      F.coalesce(F.sum("_ord_n").over(before), F.lit(0)).alias("_ord_offset")))
+    return (rows.join(starts, [*keys, "_ord_block"])
+            .withColumn("_idx", F.col("_ord_offset") + F.col("_ord_pos") - F.col("_ord_first"))
             .select(*df.columns, "_idx"))
 
 
@@ -68,9 +68,9 @@ def framed(df: DataFrame, keys: Sequence[str], order: Sequence[str], before: int
         home,
         F.when(place >= segment_rows - before, home + 1),
         F.when((place < after) & (home > 0), home - 1)))
-    cut = numbered.withColumn("_home", home).withColumn("_seg", F.explode(copies))
-    out = cut.withColumns(build(Window.partitionBy(*keys, "_seg").orderBy("_idx")))
-    return out.where(F.col("_seg") == F.col("_home")).drop("_seg", "_home", "_idx")
+    cut = numbered.withColumn("_ord_home", home).withColumn("_ord_seg", F.explode(copies))
+    out = cut.withColumns(build(Window.partitionBy(*keys, "_ord_seg").orderBy("_idx")))
+    return out.where(F.col("_ord_seg") == F.col("_ord_home")).drop("_ord_seg", "_ord_home", "_idx")
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
@@ -83,14 +83,14 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     if largest_group(df, keys) <= max_group_rows:
         return df.withColumn(name, F.coalesce(F.sum(value).over(earlier()), F.lit(0)))
     rows = _blocks(df, keys, order)
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
+    before = Window.partitionBy(*keys).orderBy("_ord_block").rowsBetween(
         Window.unboundedPreceding, -1)
-    heads = (rows.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
-             .select(*keys, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0))
-                     .alias("_offset")))
-    return (rows.join(heads, [*keys, "_block"])
-            .withColumn(name, F.col("_offset")
-                        + F.coalesce(F.sum(value).over(earlier("_block")), F.lit(0)))
+    heads = (rows.groupBy(*keys, "_ord_block").agg(F.sum(value).alias("_ord_sum"))
+             .select(*keys, "_ord_block", F.coalesce(F.sum("_ord_sum").over(before), F.lit(0))
+                     .alias("_ord_offset")))
+    return (rows.join(heads, [*keys, "_ord_block"])
+            .withColumn(name, F.col("_ord_offset")
+                        + F.coalesce(F.sum(value).over(earlier("_ord_block")), F.lit(0)))
             .select(*df.columns, name))
 
 
@@ -101,14 +101,14 @@ def number_copies(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     starting after the counts of the partitions before it. A key may hold any share
     of the rows.
     """
-    rows = materialize(df.withColumn("_at", F.monotonically_increasing_id()), "copies")
-    rows = rows.withColumn("_block", F.shiftright("_at", _BLOCK_BITS))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
+    rows = materialize(df.withColumn("_ord_at", F.monotonically_increasing_id()), "copies")
+    rows = rows.withColumn("_ord_block", F.shiftright("_ord_at", _BLOCK_BITS))
+    before = Window.partitionBy(*keys).orderBy("_ord_block").rowsBetween(
         Window.unboundedPreceding, -1)
-    starts = (rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
-              .select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0))
-                      .alias("_offset")))
-    local = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy("_at")) - 1
-    return (rows.withColumn("_local", local).join(starts, [*keys, "_block"])
-            .withColumn(name, F.col("_offset") + F.col("_local"))
+    starts = (rows.groupBy(*keys, "_ord_block").agg(F.count(F.lit(1)).alias("_ord_n"))
+              .select(*keys, "_ord_block", F.coalesce(F.sum("_ord_n").over(before), F.lit(0))
+                      .alias("_ord_offset")))
+    local = F.row_number().over(Window.partitionBy(*keys, "_ord_block").orderBy("_ord_at")) - 1
+    return (rows.withColumn("_ord_local", local).join(starts, [*keys, "_ord_block"])
+            .withColumn(name, F.col("_ord_offset") + F.col("_ord_local"))
             .select(*df.columns, name))

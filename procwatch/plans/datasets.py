@@ -12,12 +12,12 @@ from procwatch.functions import bands
 from procwatch.operators import profile
 from procwatch.plans import inputs, signals, sql
 from procwatch.plans.signals import NUDGE
-from procwatch.session import shared_dir
+from procwatch.session import session_dir
 from procwatch.sources import files, tables, telemetry
 
 
 def _folder(spark, label):
-    return f"{shared_dir(spark).rstrip('/')}/procwatch/{label}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def _r(name, digits=6):

@@ -1,12 +1,14 @@
 """Registered queries over the corpus, the index and search."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from procwatch.functions import chunking, text as tx
 from procwatch.operators import corpus, index, search
 from procwatch.plans import inputs, sql
 from procwatch.plans.signals import NUDGE
-from procwatch.session import shared_dir, spread
+from procwatch.session import session_dir, spread
 
 POOL = search.pool_size(6)
 
@@ -140,7 +142,7 @@ def hash_embeddings(spark, sf_dir):
 
 def index_roundtrip(spark, sf_dir):
     """The index written to the shared folder, read back, and counted per chunk."""
-    folder = f"{shared_dir(spark)}/procwatch/index-{abs(hash(sf_dir))}"
+    folder = f"{session_dir(spark)}/index-{uuid.uuid4().hex}"
     index.Index.of(inputs.document_chunks(spark, sf_dir)).write(folder)
     back = index.Index.read(spark, folder)
     joined = back.chunks.select("chunk_id", "source_type").join(

@@ -6,6 +6,7 @@ from procwatch.functions import bands
 from procwatch.operators import breach, features, latest, metrics
 from procwatch.plans import inputs, sql
 from procwatch.plans.signals import CHECK_WINDOW, NUDGE
+from procwatch.session import materialize
 
 ORDER = ["ts", "event_id"]
 
@@ -56,9 +57,8 @@ def label_positive_rate(spark, sf_dir):
 
 
 def stratified_split(spark, sf_dir):
-    df = features.stratified_split(_training(spark, sf_dir).select("param", "event_id", "label"),
-                                   ["event_id"], ["param", "label"])
-    return df.select("param", "event_id", "label", "split")
+    rows = materialize(_training(spark, sf_dir).select("param", "event_id", "label"), "training")
+    return features.stratified_split(rows, ["event_id"], ["param", "label"])
 
 
 def _predictions(spark, sf_dir):

@@ -54,11 +54,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     work, and values that depend on task layout are fixed once and for all.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/procwatch/{label}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/procwatch/{spark.sparkContext.applicationId}"
+
+
+def discard_tables(spark: SparkSession) -> None:
+    """Delete what this application has materialized; results that still read it end here."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition by `keys` when the input has fewer files than there are cores.
 
