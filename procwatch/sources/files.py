@@ -4,6 +4,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from procwatch.functions.text import strip
+
 TEXT_FILES = "*.{[mM][dD],[tT][xX][tT]}"
 
 
@@ -35,7 +37,7 @@ def text_documents(spark: SparkSession, root: str) -> DataFrame:
                      F.regexp_replace("value", "�", "").alias("text")))
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     inside = F.regexp_replace(F.url_decode("uri"), f"^.*?{_quoted(base)}/", "")
-    return files.select(inside.alias("path"), "text").where(F.trim("text") != "")
+    return files.select(inside.alias("path"), "text").where(strip(F.col("text")) != "")
 
 
 def _quoted(text: str) -> str:
