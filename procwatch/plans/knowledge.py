@@ -61,7 +61,8 @@ def chunk_text(spark, sf_dir):
     """Lines as paragraphs, so that paragraphs are packed greedily."""
     docs = inputs.described_documents(spark, sf_dir).drop("doc_id")
     return corpus.document_chunks(docs, separator="\n").select(
-        "chunk_id", "source_id", F.size(tx.words(F.col("text"))).alias("n_words"))
+        "chunk_id", "source_id", F.array_join(tx.words(F.col("text")), " ").alias("words")).select(
+        "chunk_id", "source_id", F.md5("words").alias("words_md5"))
 
 
 def infer_source_type(spark, sf_dir):
@@ -243,10 +244,35 @@ ORACLES = {
         FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents)""",
     "snippet": sql.with_ctes(sql.CHUNKS, "SELECT chunk_id, left(text, 600) AS snippet FROM chunks"),
     "hard_split_chunks": sql.with_ctes(sql.CHUNKS, f"""
-        SELECT 'DOC-' || doc_id AS source_id, chunk_no, md5(text) AS text_md5,
+        SELECT source_id, chunk_no, md5(text) AS text_md5,
                len({sql.words('text')}) AS n_words FROM chunks"""),
     "chunk_id": sql.with_ctes(
-        sql.CHUNKS, "SELECT chunk_id, 'DOC-' || doc_id AS source_id, chunk_no FROM chunks"),
+        sql.CHUNKS, "SELECT chunk_id, source_id, chunk_no FROM chunks"),
+    "chunk_text": f"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, {sql.words('text')} AS ws, list_filter(list_transform(string_split(text, chr(10)),
+                 lambda x: len({sql.words('x')})), lambda n: n > 0) AS paras FROM documents),
+        p AS (SELECT doc_id, unnest(paras) AS n, generate_subscripts(paras, 1) AS k FROM w),
+        a AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS upto,
+                     max(k) OVER (PARTITION BY doc_id) AS last FROM p),
+        -- the open chunk holds words first..upto; a paragraph that does not fit closes it
+        r AS (SELECT doc_id, k, CAST(0 AS BIGINT) AS first, upto, CAST(NULL AS BIGINT) AS from_, CAST(NULL AS BIGINT) AS to_
+              FROM a WHERE k = 1
+              UNION ALL
+              SELECT a.doc_id, a.k,
+                     CASE WHEN r.upto - r.first + a.n > 220 THEN greatest(r.first, r.upto - 40) ELSE r.first END, a.upto,
+                     CASE WHEN r.upto - r.first + a.n > 220 THEN r.first END,
+                     CASE WHEN r.upto - r.first + a.n > 220 THEN r.upto END
+              FROM r JOIN a ON a.doc_id = r.doc_id AND a.k = r.k + 1),
+        c AS (SELECT doc_id, from_, to_ FROM r WHERE to_ IS NOT NULL
+              UNION ALL SELECT r.doc_id, r.first, r.upto FROM r JOIN a USING (doc_id, k) WHERE k = last),
+        s AS (SELECT doc_id, from_, to_, unnest(CASE WHEN (to_ - from_) * 2 <= 660 THEN [CAST(0 AS BIGINT)]
+                     ELSE range(0, to_ - from_, 180) END) AS i FROM c),
+        n AS (SELECT doc_id, from_, CASE WHEN (to_ - from_) * 2 <= 660 THEN to_ ELSE least(to_, from_ + i + 220) END AS until,
+                     i, row_number() OVER (PARTITION BY doc_id ORDER BY from_, to_, i) - 1 AS chunk_no FROM s)
+        SELECT substr(sha1(['sop', 'oem', 'deviation'][CAST(doc_id % 3 AS INT) + 1] || '/' || doc_id || '.txt::' || chunk_no), 1, 16) AS chunk_id,
+               'DOC-' || doc_id AS source_id, md5(array_to_string(ws[from_ + i + 1:until], ' ')) AS words_md5
+        FROM n JOIN w USING (doc_id)""",
     "infer_source_type": """
         SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'sop' WHEN 1 THEN 'maintenance' WHEN 3 THEN 'deviation'
           ELSE CASE p_partkey % 4 WHEN 0 THEN 'capa' WHEN 1 THEN 'batch' WHEN 2 THEN 'oem'
@@ -255,7 +281,7 @@ ORACLES = {
         SELECT chunk_id, source_type, source_id, upper(source_type) || ' ' || source_id AS title, text,
                param, asset, effective_date FROM records"""),
     "corpus_union": sql.with_ctes(sql.CHUNKS + "," + sql.RECORDS, """
-        SELECT chunk_id, source_type, 'DOC-' || doc_id AS source_id, param, 0 AS structured FROM chunks
+        SELECT chunk_id, source_type, source_id, param, 0 AS structured FROM chunks
         UNION ALL SELECT chunk_id, source_type, source_id, param, 1 FROM records"""),
     "corpus_stats": sql.with_ctes(sql.CHUNKS + "," + sql.RECORDS, """
         , u AS (SELECT source_type, 0 AS s FROM chunks UNION ALL SELECT source_type, 1 FROM records)
@@ -296,6 +322,8 @@ ORACLES = {
                {_SUFFIX.format('l', 'lexical')} FROM ranked WHERE rank < 24"""),
     "topk_hybrid": sql.with_ctes(sql.SEARCH, f"""
         SELECT query_id, rank, chunk_id, {_SUFFIX.format('score', 'score')} FROM ranked WHERE rank < 6"""),
+    "mmr_rerank": sql.with_ctes(sql.SEARCH + sql.mmr(6, 24), f"""
+        SELECT query_id, rank, chunk_id, {_SUFFIX.format('score', 'score')} FROM hits"""),
     "knn_cosine": """
         WITH u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i
                    FROM embeddings),

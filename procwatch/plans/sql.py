@@ -52,18 +52,28 @@ def words(text: str) -> str:
 
 PARAM_LIST = "['temp', 'ph', 'press', 'cond', 'hum']"
 
-# Documents have no blank lines, so a document is one paragraph and only the hard cut is at work.
-CHUNKS = f"""
-docw AS (SELECT doc_id, ['sop', 'oem', 'deviation'][CAST(doc_id % 3 AS INT) + 1] AS source_type,
-                {PARAM_LIST}[CAST(doc_id % 6 AS INT) + 1] AS param,
-                regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS body, {words('text')} AS ws
-         FROM documents),
-doccut AS (SELECT *, unnest(CASE WHEN len(ws) * 2 <= 660 THEN [CAST(0 AS BIGINT)] ELSE range(0, len(ws), 180) END) AS i
-           FROM docw WHERE len(ws) > 0),
-chunks AS (SELECT doc_id, source_type, param, CAST(i // 180 AS BIGINT) AS chunk_no,
-      substr(sha1(source_type || '/' || doc_id || '.txt::' || (i // 180)), 1, 16) AS chunk_id,
+DOCUMENT_SOURCE = f"""
+    SELECT ['sop', 'oem', 'deviation'][CAST(doc_id % 3 AS INT) + 1] || '/' || doc_id || '.txt' AS path,
+           ['sop', 'oem', 'deviation'][CAST(doc_id % 3 AS INT) + 1] AS source_type,
+           {PARAM_LIST}[CAST(doc_id % 6 AS INT) + 1] AS param, 'DOC-' || doc_id AS source_id, text
+    FROM documents"""
+
+
+def chunks_of(source: str, name: str = "chunks") -> str:
+    """Chunks of (path, source_type, param, source_id, text) rows that have no blank lines:
+    such a text is one paragraph, and only the hard cut is at work."""
+    return f"""
+{name}_w AS (SELECT *, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS body, {words('text')} AS ws
+         FROM ({source})),
+{name}_c AS (SELECT *, unnest(CASE WHEN len(ws) * 2 <= 660 THEN [CAST(0 AS BIGINT)] ELSE range(0, len(ws), 180) END) AS i
+           FROM {name}_w WHERE len(ws) > 0),
+{name} AS (SELECT source_id, source_type, param, CAST(i // 180 AS BIGINT) AS chunk_no,
+      substr(sha1(path || '::' || (i // 180)), 1, 16) AS chunk_id,
       CASE WHEN len(ws) * 2 <= 660 THEN body ELSE array_to_string(ws[i + 1:i + 220], ' ') END AS text
-      FROM doccut)"""
+      FROM {name}_c)"""
+
+
+CHUNKS = chunks_of(DOCUMENT_SOURCE)
 
 BUCKET = ("(256 * (" + " + ".join(
     f"('0x' || substr(md5(t), {4 * i + 1}, 4))::BIGINT" for i in range(7))
@@ -96,7 +106,8 @@ records AS (
          substr(sha1('batch/batch_records.json::B-' || c_custkey || '::' || c_custkey), 1, 16)
   FROM customer)"""
 
-INDEX = CHUNKS + f""",
+# Over chunks(chunk_id, source_type, param, text).
+INDEX_OF = f""",
 tok AS (SELECT chunk_id, source_type, param, {words('lower(text)')} AS ts FROM chunks),
 post AS (SELECT chunk_id, t AS term, count(*) AS tf
          FROM (SELECT chunk_id, unnest(ts) AS t FROM tok) GROUP BY ALL),
@@ -108,10 +119,15 @@ bk AS (SELECT chunk_id, {BUCKET} AS bucket, count(*) AS n
        GROUP BY ALL),
 nrm AS (SELECT chunk_id, sqrt(sum(n * n)) AS norm FROM bk GROUP BY chunk_id)"""
 
-SEARCH = INDEX + f""",
+INDEX = CHUNKS + INDEX_OF
+
+QUERIES = f""",
 q AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text, {PARAM_LIST}[CAST(item_id % 6 AS INT) + 1] AS qparam,
              CASE item_id % 4 WHEN 0 THEN ['sop'] WHEN 1 THEN ['oem', 'deviation']
-                              WHEN 2 THEN ['deviation'] END AS qtypes FROM benchmark),
+                              WHEN 2 THEN ['deviation'] END AS qtypes FROM benchmark)"""
+
+# Over the index and q(query_id, text, qparam, qtypes).
+SEARCH_OF = f""",
 qpost AS (SELECT query_id, t AS term, count(*) AS qn
           FROM (SELECT query_id, unnest({words('lower(text)')}) AS t FROM q) GROUP BY ALL),
 lexm AS (SELECT query_id, chunk_id, sum(qn * (CASE WHEN idf.idf < 0 THEN 0.25::DOUBLE * (SELECT avg(idf) FROM idf) ELSE idf.idf END)
@@ -138,14 +154,43 @@ normed AS (SELECT query_id, chunk_id, lex, dense,
 hyb AS (SELECT *, round(0.6::DOUBLE * d + 0.4::DOUBLE * l, 9) AS score FROM normed),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM hyb)"""
 
+SEARCH = INDEX + QUERIES + SEARCH_OF
+
+
+def mmr(top_k: int, pool: int) -> str:
+    """Picks of every query from its pool, over a search; needs WITH RECURSIVE."""
+    return f""",
+pool AS MATERIALIZED (SELECT query_id, rank, chunk_id, score, coalesce(norm, 1e-9::DOUBLE) AS norm
+         FROM ranked LEFT JOIN nrm USING (chunk_id) WHERE rank < {pool}),
+pool_bk AS MATERIALIZED (SELECT query_id, rank, bucket, n FROM pool JOIN bk USING (chunk_id)),
+dots AS (SELECT x.query_id, x.rank AS i, y.rank AS j, sum(x.n * y.n) AS dot
+         FROM pool_bk x JOIN pool_bk y USING (query_id, bucket) GROUP BY ALL),
+sims AS (SELECT p.query_id, p.rank AS i, o.rank AS j, coalesce(dot, 0) / (p.norm * o.norm) AS s
+         FROM pool p JOIN pool o USING (query_id)
+         LEFT JOIN dots d ON d.query_id = p.query_id AND d.i = p.rank AND d.j = o.rank),
+sim_rows AS (SELECT query_id, i, list(s ORDER BY j) AS r FROM sims GROUP BY query_id, i),
+sim_mats AS MATERIALIZED (SELECT query_id, list(r ORDER BY i) AS m, count(*) AS n FROM sim_rows GROUP BY query_id),
+walk AS (
+  SELECT query_id, m, [CAST(0 AS BIGINT)] AS picked, range(1, n) AS rest FROM sim_mats
+  UNION ALL
+  SELECT query_id, m, list_append(picked, best), list_filter(rest, lambda x: x <> best)
+  FROM (SELECT *, rest[list_position(gain, list_max(gain))] AS best
+        FROM (SELECT *, list_transform(rest, lambda x, i: 0.72::DOUBLE * (1::DOUBLE - (i - 1)::DOUBLE / len(rest))
+                - (1::DOUBLE - 0.72::DOUBLE) * list_max(list_transform(picked, lambda y: m[x + 1][y + 1]))) AS gain
+              FROM walk WHERE len(picked) < {top_k} AND len(rest) > 0))),
+ends AS (SELECT query_id, arg_max(picked, len(picked)) AS picked FROM walk GROUP BY query_id),
+picks AS (SELECT query_id, unnest(picked) AS spot, generate_subscripts(picked, 1) - 1 AS pick FROM ends),
+hits AS (SELECT picks.query_id, pick AS rank, chunk_id, score FROM picks
+         JOIN pool ON pool.query_id = picks.query_id AND pool.rank = picks.spot)"""
+
+
 
 def with_ctes(ctes: str, body: str) -> str:
     return _attach(ctes, body)
 
 
 def _attach(ctes: str, body: str) -> str:
-    body = body.strip()
-    return f"WITH {ctes}\n{body if body.startswith(',') else body}"
+    return f"WITH RECURSIVE {ctes}\n{body.strip()}"
 
 
 def with_bands(body: str) -> str:

@@ -71,12 +71,10 @@ def discard_tables(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition by `keys` when the input has fewer files than there are cores.
+    """Repartition by `keys` when the input is read in fewer pieces than there are cores.
 
-    For costly work per row on a table of few files. A table of many files is
-    left as it lies, so nothing is shuffled at scale.
+    For costly work per row on a small table. A table read in many pieces is left as
+    it lies, so nothing is shuffled at scale.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores * 2, *keys)
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores, *keys)
