@@ -116,15 +116,20 @@ def jsonl_records(spark, sf_dir):
     return files.jsonl_records(spark, folder, "p_partkey long, p_name string, p_size int")
 
 
+TURNS_PER_FILE = 250
+
+
 def text_corpus_scan(spark, sf_dir):
-    """Turns of a conversation written as one text file each, and scanned recursively."""
+    """Turns of conversations written to text files of about 250 turns, and scanned recursively."""
     folder = _folder(spark, "texts")
-    (inputs.table(spark, sf_dir, "conversations")
-     .select("text", F.concat_ws("-", "conv_id", "turn").alias("at"))
-     .repartition("at").write.option("lineSep", "\n").option("compression", "none")
-     .partitionBy("at").text(folder))
+    turns = inputs.table(spark, sf_dir, "conversations")
+    n_files = max(1, -(-turns.count() // TURNS_PER_FILE))
+    digest = F.substring(F.md5(F.concat_ws("-", "conv_id", "turn")), 1, 8)
+    (turns.withColumn("f", F.conv(digest, 16, 10).cast("long") % n_files)
+     .repartition("f").sortWithinPartitions("f", "conv_id", "turn").select("f", "text")
+     .write.option("compression", "none").partitionBy("f").text(folder))
     docs = files.text_documents(spark, folder)
-    return docs.select(F.regexp_extract("path", "at=([^/]*)/", 1).alias("at"),
+    return docs.select(F.regexp_extract("path", "f=([0-9]+)/", 1).cast("long").alias("f"),
                        F.md5(F.regexp_replace("text", "\n$", "")).alias("text_md5"))
 
 
@@ -249,8 +254,10 @@ ORACLES = {
     "json_records": "SELECT p_partkey, p_name, p_size FROM part",
     "jsonl_records": "SELECT p_partkey, p_name, p_size FROM part",
     "text_corpus_scan": """
-        SELECT conv_id || '-' || turn AS at, md5(text) AS text_md5 FROM conversations
-        WHERE trim(text) <> ''""",
+        WITH n AS (SELECT CAST(ceil(count(*) / 250::DOUBLE) AS BIGINT) AS n FROM conversations)
+        SELECT ('0x' || substr(md5(conv_id || '-' || turn), 1, 8))::BIGINT % n AS f,
+               md5(string_agg(text, chr(10) ORDER BY conv_id, turn)) AS text_md5
+        FROM conversations, n GROUP BY 1""",
     "historian_scan": sql.with_telemetry(
         "SELECT event_id, round(v + 1e-9::DOUBLE, 6) AS value FROM telem WHERE param = 'press'"),
     "vector_upsert": """

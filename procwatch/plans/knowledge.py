@@ -127,10 +127,11 @@ def postings(spark, sf_dir):
 
 def term_stats(spark, sf_dir):
     built = index.Index.of(inputs.document_chunks(spark, sf_dir))
-    size = F.broadcast(built.size)  # one row
-    return built.terms.join(size).select(
-        "term", "df", _r_of(index.idf(F.col("df"), F.col("n_chunks")), "idf"),
-        "n_chunks", _r("avg_words"))
+    size = built.size.first()
+    n_chunks = F.lit(size["n_chunks"])
+    return built.terms.select(
+        "term", "df", _r_of(index.idf(F.col("df"), n_chunks), "idf"),
+        n_chunks.alias("n_chunks"), _r_of(F.lit(size["avg_words"]), "avg_words"))
 
 
 def _r_of(column, name, digits=6):
