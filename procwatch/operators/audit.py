@@ -15,7 +15,8 @@ SEGMENT_ROWS = 200_000
 def entry_text() -> Column:
     """What a row commits to besides its predecessor: time, action, event, detail."""
     return F.concat(F.col("ts").cast("string"), F.lit("+00"), F.col("action"),
-                    F.coalesce(F.col("event_id").cast("string"), F.lit("")), F.col("detail"))
+                    F.coalesce(F.col("event_id").cast("string"), F.lit("")),
+                    F.coalesce(F.col("detail"), F.lit("{}")))
 
 
 def row_hash(previous: Column) -> Column:

@@ -193,29 +193,44 @@ def metrics_table(spark, fitted: dict[str, Fitted]) -> DataFrame:
               "importance map<string,double>")
 
 
+def model_probability(df: DataFrame, models: dict[str, PipelineModel], name: str) -> DataFrame:
+    """Add `name`, the probability by the model of the row's parameter; null without a model.
+
+    Missing inputs count as 0 for the model; the rows keep them as they are.
+    """
+    known = F.coalesce(F.col("param").isin(list(models)), F.lit(False))
+    out = df.where(~known).withColumn(name, F.lit(None).cast("double"))
+    for param, model in models.items():
+        filled = df.where(F.col("param") == param).withColumns(
+            {f"_in_{c}": F.col(c) for c in SERVING}).withColumns(
+            {c: F.coalesce(c, F.lit(0.0)) for c in SERVING})
+        back = [F.col(f"_in_{c}").alias(c) if c in SERVING else F.col(c) for c in df.columns]
+        out = out.unionByName(score(model, filled, name).select(*back, name))
+    return out
+
+
+def rescore(windows: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
+    """Scored windows with `p_raw` by the models where there is one."""
+    scored = model_probability(windows, models, "_p")
+    return scored.withColumn("p_raw", F.coalesce("_p", "p_raw")).select(*windows.columns)
+
+
 def predict(requests: DataFrame, dim: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
     """Score rows of (param, v_avg, v_std, v_delta) with each parameter's model.
 
     Parameters without a model get the analytic score; `source` tells which.
     """
-    joined = bands.with_bands(requests, dim, "primary_driver")
-    filled = {c: F.coalesce(c, F.lit(0.0)) for c in SERVING}
+    joined = bands.with_bands(requests, dim, "primary_driver", "model")
     rows = joined.select(
         *requests.columns, bands.zone(F.col("v_avg")).alias("zone"),
         F.coalesce("primary_driver", F.lit("unknown")).alias("top_driver"),
-        bands.pdm_score(F.col("v_avg"), F.col("v_std")).alias("_analytic"))
-    known = F.coalesce(F.col("param").isin(list(models)), F.lit(False))
-    out = rows.where(~known).withColumns({"p_breach": F.round("_analytic", 4),
-                                          "source": F.lit("analytic fallback")})
-    for param, model in models.items():
-        # the models see the filled columns; the rows keep theirs
-        mine = rows.where(F.col("param") == param)
-        kept = mine.withColumns({f"_in_{c}": F.col(c) for c in SERVING}).withColumns(filled)
-        scored = score(model, kept, "_p").withColumns({c: F.col(f"_in_{c}") for c in SERVING})
-        out = out.unionByName(scored.withColumns({
-            "p_breach": F.round("_p", 4), "source": F.lit(f"{KINDS[param]} (trained)")})
-            .select(*out.columns))
-    return out.drop("_analytic")
+        bands.pdm_score(F.col("v_avg"), F.col("v_std")).alias("_analytic"),
+        F.col("model").alias("_kind"))
+    return model_probability(rows, models, "_p").select(
+        *requests.columns, "zone", "top_driver",
+        F.round(F.coalesce("_p", "_analytic"), 4).alias("p_breach"),
+        F.when(F.col("_p").isNotNull(), F.concat("_kind", F.lit(" (trained)")))
+        .otherwise("analytic fallback").alias("source"))
 
 
 def save(fitted: dict[str, Fitted], folder: str) -> None:

@@ -7,6 +7,8 @@ neighbouring rows its frames look at, so results are those of the plain window.
 """
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -34,6 +36,15 @@ def _blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFra
         F.col("_ord_at").bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1)).alias("_ord_pos"))
 
 
+def _with_starts(rows: DataFrame, starts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with what is known of their key and block; a null key is a key like any other."""
+    by = [*keys, "_ord_block"]
+    named = starts.select(*[F.col(c).alias(f"_ord_k{i}") for i, c in enumerate(by)],
+                          *[c for c in starts.columns if c not in by])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_ord_k{i}")) for i, c in enumerate(by)])
+    return rows.join(named, same).drop(*[f"_ord_k{i}" for i in range(len(by))])
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add `_idx`, the row's number from 0 within its key. `order` must be unique per key."""
     rows = _blocks(df, keys, order)
@@ -43,7 +54,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
               .agg(F.min("_ord_pos").alias("_ord_first"), F.count(F.lit(1)).alias("_ord_n"))
               .select(*keys, "_ord_block", "_ord_first",
                       F.coalesce(F.sum("_ord_n").over(before), F.lit(0)).alias("_ord_offset")))
-    return (rows.join(starts, [*keys, "_ord_block"])
+    return (_with_starts(rows, starts, keys)
             .withColumn("_idx", F.col("_ord_offset") + F.col("_ord_pos") - F.col("_ord_first"))
             .select(*df.columns, "_idx"))
 
@@ -88,7 +99,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     heads = (rows.groupBy(*keys, "_ord_block").agg(F.sum(value).alias("_ord_sum"))
              .select(*keys, "_ord_block", F.coalesce(F.sum("_ord_sum").over(before), F.lit(0))
                      .alias("_ord_offset")))
-    return (rows.join(heads, [*keys, "_ord_block"])
+    return (_with_starts(rows, heads, keys)
             .withColumn(name, F.col("_ord_offset")
                         + F.coalesce(F.sum(value).over(earlier("_ord_block")), F.lit(0)))
             .select(*df.columns, name))
@@ -109,6 +120,6 @@ def number_copies(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
               .select(*keys, "_ord_block", F.coalesce(F.sum("_ord_n").over(before), F.lit(0))
                       .alias("_ord_offset")))
     local = F.row_number().over(Window.partitionBy(*keys, "_ord_block").orderBy("_ord_at")) - 1
-    return (rows.withColumn("_ord_local", local).join(starts, [*keys, "_ord_block"])
+    return (_with_starts(rows.withColumn("_ord_local", local), starts, keys)
             .withColumn(name, F.col("_ord_offset") + F.col("_ord_local"))
             .select(*df.columns, name))

@@ -7,11 +7,12 @@ replaces what it wrote before.
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from procwatch import fixed_values as fv
-from procwatch.operators import breach, latest
+from procwatch.operators import breach, latest, models
 from procwatch.sources import tables
 
 
@@ -33,12 +34,17 @@ def audit_rows(events: DataFrame) -> DataFrame:
         F.to_json(F.struct("event_id", "param", "p_breach")).alias("detail"))
 
 
-def write_batch(folder: str, threshold: float = fv.BREACH_THRESHOLD
-                ) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: events, windowed features and audit rows from one pass."""
+def write_batch(folder: str, threshold: float = fv.BREACH_THRESHOLD,
+                fitted: dict[str, PipelineModel] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: events, windowed features and audit rows from one pass.
+
+    With `fitted` models the windows of their parameters are scored by them.
+    """
     folder = folder.rstrip("/")
 
     def write(batch: DataFrame, number: int) -> None:
+        if fitted:
+            batch = models.rescore(batch, fitted)
         batch.persist()
         try:
             events = breach.emit_events(breach.breach_candidates(batch, threshold)).withColumn(
@@ -59,10 +65,11 @@ def write_batch(folder: str, threshold: float = fv.BREACH_THRESHOLD
 
 def start(telemetry: DataFrame, dim: DataFrame, folder: str, checkpoint: str,
           size: str = fv.WINDOW_SIZE, threshold: float = fv.BREACH_THRESHOLD,
-          trigger: dict | None = None) -> StreamingQuery:
+          trigger: dict | None = None, fitted: dict[str, PipelineModel] | None = None
+          ) -> StreamingQuery:
     """Start the breach query with its three outputs below `folder`."""
     return (scored_windows(telemetry, dim, size).writeStream.outputMode("append")
-            .foreachBatch(write_batch(folder, threshold))
+            .foreachBatch(write_batch(folder, threshold, fitted))
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
 

@@ -75,6 +75,13 @@ def test_row_numbers_and_totals(spark, df, rows):
         assert all(r["below"] == r["at"] * (r["at"] - 1) // 2 for r in total.collect())
 
 
+def test_null_keys_are_kept(spark):
+    df = spark.createDataFrame([(k, i) for k in ("a", None) for i in range(50)], "param string, at long")
+    got = ordering.number_rows(df, ["param"], ["at"]).collect()
+    assert len(got) == 100 and all(r["_idx"] == r["at"] for r in got)
+    assert ordering.number_copies(df, ["param"], "n").where("n = 49").count() == 2
+
+
 def test_copies_are_numbered(spark):
     df = spark.createDataFrame([("hot",)] * 500 + [("a",), ("b",), ("b",)], "k string").repartition(6)
     got = ordering.number_copies(df, ["k"], "n").collect()

@@ -131,6 +131,9 @@ def test_models_learn_and_fall_back(spark, dim, training, param, tmp_path):
     assert got["press", 117.0]["source"] == "analytic fallback" and got["press", 117.0]["zone"] == "alarm"
     assert got["nope", 1.0]["p_breach"] == 0.0
     assert 0.0 <= got[param, None]["p_breach"] <= 1.0
+    windows = requests.withColumn("p_raw", F.lit(0.125))
+    again = {(r["param"], r["v_avg"]): r["p_raw"] for r in models.rescore(windows, loaded).collect()}
+    assert again["press", 117.0] == 0.125 and again[param, 7.45] > 0.5
 
 
 def test_one_class_is_skipped(training):
