@@ -1,6 +1,5 @@
 """Session settings and the shared folder for intermediate tables."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,19 +30,16 @@ def build_session(master: str | None = None, name: str = "procwatch", **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir.
+    """The folder named by spark.checkpoint.dir; where it is unset, one in the warehouse.
 
-    Only a local master, where driver and executors are one process, may fall
-    back to a temporary folder.
+    Both are reached by all executors. The file system removes this application's part
+    of it when the driver ends.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="procwatch-")
-    context.setCheckpointDir(folder)
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/procwatch-scratch"
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -59,15 +55,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def session_dir(spark: SparkSession) -> str:
-    """This application's own part of the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/procwatch/{spark.sparkContext.applicationId}"
+    """This application's own part of the shared folder, removed when the driver ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/procwatch/{spark.sparkContext.applicationId}"
+    files, path = _file_system(spark, folder)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
 
 
 def discard_tables(spark: SparkSession) -> None:
     """Delete what this application has materialized; results that still read it end here."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    files, path = _file_system(spark, session_dir(spark))
+    files.delete(path, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
