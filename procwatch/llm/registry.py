@@ -1,8 +1,8 @@
 """All queries of this subpackage and their SQL."""
 
-from procwatch.llm import mixing_query
+from procwatch.llm import licenses_query, mixing_query, url_rules_query
 
-_MODULES = (mixing_query,)
+_MODULES = (licenses_query, mixing_query, url_rules_query)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: text for module in _MODULES for name, text in module.ORACLES.items()}
