@@ -251,11 +251,13 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     by one, so repeated rows, null ids and empty tables need nothing special. A column of that
     name is replaced.
     """
-    lowered = F.lower(F.col(text))
+    lowered = F.col("_lowered")  # a column of its own, so that it is made once
     gated = reduce(or_, [lowered.contains(g) for g in GATES])
     none = F.array().cast(_KEPT)
-    return docs.withColumn("detections", F.when(
-        gated, _suppressed(_detections(F.col(text), lowered))).otherwise(none))
+    return (docs.withColumn("_lowered", F.lower(F.col(text)))
+            .withColumn("detections", F.when(
+                gated, _suppressed(_detections(F.col(text), lowered))).otherwise(none))
+            .drop("_lowered"))
 
 
 def base_places(text: Column, phrase: str) -> Column:

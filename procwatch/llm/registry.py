@@ -1,8 +1,20 @@
 """All queries of this subpackage and their SQL."""
 
-from procwatch.llm import licenses_query, mixing_query, url_rules_query
+from procwatch.llm import (
+    language_query,
+    leaks_query,
+    licenses_query,
+    mixing_query,
+    neardup_query,
+    passages_query,
+    token_files_query,
+    topk_query,
+    url_rules_query,
+    warc_query,
+)
 
-_MODULES = (licenses_query, mixing_query, url_rules_query)
+_MODULES = (neardup_query, topk_query, licenses_query, passages_query, warc_query,
+            url_rules_query, leaks_query, token_files_query, language_query, mixing_query)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: text for module in _MODULES for name, text in module.ORACLES.items()}
