@@ -14,9 +14,10 @@ exact counts of the shingles in buckets that are large enough.
 
 Groups may be large. Copies with equal words are one node. Nodes of a band first meet
 two centres of it, the most central and the smallest, which links nearly all of a group
-in linear work. Then nodes of a band in different components meet, if what they share
-with any other candidate leaves room for the similarity; with that every candidate pair
-has been compared, shown to be too different, or lies in one component anyway.
+in linear work. Then nodes of a band in different components meet, if what each of them
+shares with any other candidate, by classes of shingles, leaves room for the similarity;
+with that every candidate pair has been compared, shown to be too different, or lies in one
+component anyway.
 """
 
 import math
@@ -35,7 +36,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
 CAP = 0.1           # share of documents below which all shingles weigh the same
 BUCKETS = 1 << 16
-_STEP_BYTES = 1 << 17
+CLASSES = 64        # of shingles, by which a pair's intersection is bounded
+_STEP_BYTES = 1 << 18
 _SEED = 0x5DEECE66D
 
 
@@ -193,24 +195,28 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, weights: Weights) -> DataFrame:
-    """node, shingles (sorted, 8 bytes each) and weights (4 bytes each) of the wanted documents."""
+    """node, shingles (sorted, 8 bytes each), weights (4 bytes each) and weight by class of the wanted
+    documents."""
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found_sets, found_weights = [], []
+            found_sets, found_weights, by_class = [], [], []
             for start, end, row, found, times, _ in counted_shingles(batch["text"]):
                 weight = weights.of(found, times).astype("<f4")
                 cuts = np.searchsorted(row, np.arange(end - start + 1))
                 for a, b in zip(cuts, cuts[1:]):
                     found_sets.append(found[a:b].astype("<u8").tobytes())
                     found_weights.append(weight[a:b].tobytes())
+                    by_class.append(np.bincount((found[a:b] % np.uint64(CLASSES)).astype(np.int64),
+                                                weight[a:b], minlength=CLASSES))
             yield pa.RecordBatch.from_arrays(
-                [batch["node"], pa.array(found_sets, pa.binary()), pa.array(found_weights, pa.binary())],
-                names=["node", "shingles", "weights"])
+                [batch["node"], pa.array(found_sets, pa.binary()), pa.array(found_weights, pa.binary()),
+                 pa.array(by_class, pa.list_(pa.float64()))],
+                names=["node", "shingles", "weights", "classes"])
     same = wanted.select("node", F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
     one = Window.partitionBy("doc_id", "digest").orderBy(F.lit(1))  # rows may repeat an id and text
     return (docs.join(same, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
             .withColumn("n", F.row_number().over(one)).where("n = 1").select("node", "text")
-            .mapInArrow(collect, "node binary, shingles binary, weights binary"))
+            .mapInArrow(collect, "node binary, shingles binary, weights binary, classes array<double>"))
 
 
 def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -245,10 +251,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             .mapInArrow(compare, "a binary, b binary, similarity double"))
 
 
-def _shared_weight(sets: DataFrame) -> DataFrame:
-    """node, total and `shared`, the weight of its shingles that another candidate has too.
+def _shared(sets: DataFrame) -> DataFrame:
+    """node, and `classes`, by class the weight of its shingles that another candidate has too.
 
-    What two candidates have in common is at most the smaller of their shared weights.
+    What two candidates have in common is at most the smaller of the two, summed over classes.
     """
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,17 +264,22 @@ def _shared_weight(sets: DataFrame) -> DataFrame:
                     [pa.array([batch["node"][i].as_py()] * len(found), pa.binary()), pa.array(found),
                      pa.array(np.frombuffer(batch["weights"][i].as_buffer(), "<f4"))],
                     names=["node", "shingle", "weight"])
-    each = sets.mapInArrow(flat, "node binary, shingle long, weight float")
+    each = sets.select("node", "shingles", "weights").mapInArrow(flat, "node binary, shingle long, weight float")
     # a shingle of one candidate alone adds to no intersection
     alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.first("node").alias("node"),
                                         F.first("weight").alias("weight")).where("n = 1")
-    return alone.groupBy("node").agg(F.sum("weight").alias("alone"))
+    number = F.col("shingle").bitwiseAND(F.lit(CLASSES - 1)).cast("int")
+    sums = (alone.groupBy("node", number.alias("class")).agg(F.sum("weight").alias("w"))
+            .groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("class", "w"))).alias("alone")))
+    left = F.transform("classes", lambda w, i: F.greatest(
+        w - F.coalesce(F.try_element_at("alone", i), F.lit(0.0)), F.lit(0.0)))
+    return sets.select("node", "classes").join(sums, "node", "left").select("node", left.alias("classes"))
 
 
-def _fits(similarity: float):
-    """What a pair shares can reach the similarity: shared >= s / (1 + s) * (sum of totals)."""
-    room = similarity / (1 + similarity) * (F.col("a_total") + F.col("b_total"))
-    return F.least("a_shared", "b_shared") >= room - 1e-6
+def _room(similarity: float):
+    """The intersection that a pair of these totals needs: s / (1 + s) of their sum; a little less,
+    as sums are rounded."""
+    return (F.col("a_total") + F.col("b_total")) * F.lit(similarity / (1 + similarity) * (1 - 1e-5))
 
 
 def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -286,10 +297,11 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     wanted = member.select("node").distinct().join(nodes.select("node", "doc_id", "digest", "total"), "node")
     wanted = materialize(wanted, "candidates")
     sets = materialize(_sets(docs, wanted, weights), "sets")
-    facts = (wanted.select("node", "total").join(_shared_weight(sets), "node", "left")
-             .select("node", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("shared")))
+    classes = materialize(_shared(sets), "shared-classes")
+    total = F.aggregate("classes", F.lit(0.0), lambda x, y: x + y)
+    facts = (wanted.select("node", "total").join(classes.select("node", total.alias("shared")), "node"))
     # a node without enough in common with any other candidate has no partner
-    facts = materialize(facts.where(F.col("shared") >= similarity * F.col("total") - 1e-6), "facts")
+    facts = materialize(facts.where(F.col("shared") >= F.col("total") * (similarity * (1 - 1e-5))), "facts")
     central = member.groupBy("node").agg(F.sum("n").alias("central"))
     live = materialize(member.join(facts, "node").join(central, "node")
                        .select("band", "key", "node", "total", "shared", "central"), "live-members")
@@ -306,18 +318,29 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
                 F.struct("least.node", "least.total", "least.shared"))).alias("c"))
             .select("a", "a_total", "a_shared", F.col("c.node").alias("b"), F.col("c.total").alias("b_total"),
                     F.col("c.shared").alias("b_shared"))
-            .where("a <> b").where(_fits(similarity)).select("a", "b").distinct())
+            .where((F.col("a") != F.col("b")) & (F.least("a_shared", "b_shared") >= _room(similarity)))
+            .select("a", "b").distinct())
     first = materialize(_verified(star, sets, similarity), "star-links")
     label = components(first)
     labelled = live.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = (labelled.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
              .where("x <> y").select("band", "key"))
-    rest = materialize(labelled.join(split, ["band", "key"]), "open-members")
-    left = rest.select("band", "key", *facts_of("a"), F.col("label").alias("a_label"))
-    right = rest.select("band", "key", *facts_of("b"), F.col("label").alias("b_label"))
-    cross = (left.join(right, (left["band"] == right["band"]) & (left["key"] == right["key"])
-                       & (F.col("a_label") < F.col("b_label")) & _fits(similarity))
-             .select("a", "b").distinct())
+    rest = materialize(labelled.join(split, ["band", "key"]).join(classes, "node")
+                       .join(nodes.select("node", "bands"), "node"), "open-members")
+
+    def side(s: str) -> DataFrame:
+        return rest.select(*[F.col(c).alias(f"{s}_{c}" if c != "node" else s) for c in (
+            "band", "key", "node", "total", "shared", "label", "classes", "bands")])
+
+    # the sums by class are looked at last, and a pair counts in the first of its bands only
+    agree = F.zip_with("a_bands", "b_bands", lambda x, y: x == y)
+    common = F.aggregate(F.zip_with("a_classes", "b_classes", lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y)
+    cross = (side("a").join(side("b"), (F.col("a_band") == F.col("b_band")) & (F.col("a_key") == F.col("b_key"))
+                            & (F.col("a_label") < F.col("b_label"))
+                            & (F.least("a_shared", "b_shared") >= _room(similarity))
+                            & (F.array_position(agree, F.lit(True)) == F.col("a_band") + 1)
+                            & (common >= _room(similarity)))
+             .select("a", "b"))
     second = materialize(_verified(cross, sets, similarity), "cross-links")
     return signed, components(first.unionByName(second))
 
