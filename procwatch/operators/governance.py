@@ -13,14 +13,14 @@ def decide(events: DataFrame) -> DataFrame:
 
 
 def route(events: DataFrame, roles: DataFrame) -> DataFrame:
-    """(event, actor) pairs in which the actor may execute for the event's parameter.
+    """Events whose assigned `actor` may execute for their parameter; others are left out.
 
-    `roles` has one row per (actor, role). The role names the parameter, so this
-    is an equi-join and an event meets the agents of its own parameter only.
+    `roles` has one row per (actor, role) and the role names the parameter: a semi-join
+    on both, so an event stays one row however many actors hold the role.
     """
     agents = (roles.where(F.col("role").startswith("agent.execute."))
-              .select("actor", F.substring_index("role", ".", -1).alias("param")).distinct())
-    return events.join(agents, "param")
+              .select("actor", F.substring_index("role", ".", -1).alias("param")))
+    return events.join(agents, ["actor", "param"], "left_semi")
 
 
 def attach_roles(requests: DataFrame, roles: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def classification_metrics(df: DataFrame, label: str, score: str, by: Sequence[s
         _ratio(F.col("hits"), F.col("actual")).alias("recall"))
 
 
-def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str], **limits: int) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
     """Area under the ROC curve per group; ties count half, null with a single class.
 
     Rows are first combined per distinct score, then one running count of the
@@ -38,7 +38,7 @@ def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str], **limits:
     per_score = materialize(df.groupBy(*by, score).agg(
         F.sum(F.col(label).cast("long")).alias("_pos"),
         F.sum(1 - F.col(label).cast("long")).alias("_neg")), "per-score")
-    below = ordering.running_total(per_score, list(by), [score], "_neg", "_below", **limits)
+    below = ordering.running_total(per_score, list(by), [score], "_neg", "_below")
     sums = below.groupBy(*by).agg(
         F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / F.lit(2.0))).alias("_won"),
         F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))

@@ -2,8 +2,9 @@
 
 A window function partitioned by such a key runs in one task. Here the rows are
 range-partitioned by (key, order) instead, numbered through small per-block
-counts, and cut into segments of bounded size. Each segment also gets the few
-neighbouring rows its frames look at, so results are those of the plain window.
+counts, and cut into segments of bounded size, at every size alike. Each segment
+also gets the few neighbouring rows its frames look at, so results are those of
+the plain window.
 """
 
 from collections.abc import Callable, Sequence
@@ -14,17 +15,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from procwatch.session import materialize
 
-MAX_GROUP_ROWS = 2_000_000
 SEGMENT_ROWS = 500_000
 _BLOCK_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest key; a count that combines map-side."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return row["n"] or 0
-
-
 def _blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows with the block they fall in and their position in it, written once."""
     ranged = (df.repartitionByRange(*keys, *order)
@@ -60,16 +54,13 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
 
 
 def framed(df: DataFrame, keys: Sequence[str], order: Sequence[str], before: int, after: int,
-           build: Callable[[Window], dict[str, Column]], max_group_rows: int = MAX_GROUP_ROWS,
+           build: Callable[[Window], dict[str, Column]],
            segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Add window columns whose frames reach `before` rows back and `after` rows ahead.
 
     `build` gets the window (partitioned and ordered, no frame) and returns the
-    columns. While the largest key is small one plain window does; beyond
-    `max_group_rows` every task sees at most segment_rows + before + after rows.
+    columns. No window holds more than segment_rows + before + after rows.
     """
-    if largest_group(df, keys) <= max_group_rows:
-        return df.withColumns(build(Window.partitionBy(*keys).orderBy(*order)))
     if segment_rows < max(before, after):
         raise ValueError("segment_rows must cover the frame")
     numbered = number_rows(df, keys, order)
@@ -85,14 +76,10 @@ def framed(df: DataFrame, keys: Sequence[str], order: Sequence[str], before: int
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                  name: str, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                  name: str) -> DataFrame:
     """Add `name`, the sum of `value` over all earlier rows of the key."""
-    def earlier(*by: str) -> Window:
-        return Window.partitionBy(*keys, *by).orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, -1)
-
-    if largest_group(df, keys) <= max_group_rows:
-        return df.withColumn(name, F.coalesce(F.sum(value).over(earlier()), F.lit(0)))
+    within = Window.partitionBy(*keys, "_ord_block").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, -1)
     rows = _blocks(df, keys, order)
     before = Window.partitionBy(*keys).orderBy("_ord_block").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -101,7 +88,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
                      .alias("_ord_offset")))
     return (_with_starts(rows, heads, keys)
             .withColumn(name, F.col("_ord_offset")
-                        + F.coalesce(F.sum(value).over(earlier("_ord_block")), F.lit(0)))
+                        + F.coalesce(F.sum(value).over(within), F.lit(0)))
             .select(*df.columns, name))
 
 

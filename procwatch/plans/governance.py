@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from procwatch.functions import policy
 from procwatch.operators import audit, governance
 from procwatch.plans import inputs, signals, sql
+from procwatch.session import materialize
 
 ACTORS = 5
 
@@ -52,8 +53,8 @@ def policy_obligations(spark, sf_dir):
 
 
 def rbac_route(spark, sf_dir):
-    return governance.route(signals.events(spark, sf_dir), _roles(spark, sf_dir)).select(
-        "event_id", "actor")
+    assigned = signals.events(spark, sf_dir).withColumn("actor", _actor())
+    return governance.route(assigned, _roles(spark, sf_dir)).select("event_id", "actor")
 
 
 def _cards(spark, sf_dir):
@@ -150,14 +151,37 @@ def _audit_rows(spark, sf_dir):
         F.col("props").alias("detail"))
 
 
+SEGMENT = 7  # small, so that the checked chains have many segments
+
+
 def _chained(spark, sf_dir):
-    return audit.build_chain(_audit_rows(spark, sf_dir), "chain", "id")
+    return audit.build_chain(_audit_rows(spark, sf_dir), "chain", "id", SEGMENT)
 
 
 def audit_chain(spark, sf_dir):
     return _chained(spark, sf_dir).select("chain", "id", "prev_hash", "row_hash")
 
 
+def audit_append(spark, sf_dir):
+    """The first half of the log stored, then continued by the rest: the same chains."""
+    rows = _audit_rows(spark, sf_dir)
+    middle = rows.agg(F.floor(F.avg("id"))).first()[0]
+    stored = materialize(audit.build_chain(rows.where(F.col("id") <= middle), "chain", "id", SEGMENT), "log")
+    later = audit.build_chain(rows.where(F.col("id") > middle), "chain", "id", SEGMENT,
+                              audit.heads(stored, "chain", "id"))
+    return stored.unionByName(later).select("chain", "id", "prev_hash", "row_hash")
+
+
+def audit_deleted_segment(spark, sf_dir):
+    """The second segment of every chain, and the last row of every third chain, deleted."""
+    chained = materialize(_chained(spark, sf_dir), "log")
+    anchors = audit.anchor_segments(chained, "chain", "id", SEGMENT)
+    tails = chained.groupBy("chain").agg(F.max("id").alias("tail")).where("chain % 3 = 0")
+    kept = (chained.where("segment <> 1").join(tails, "chain", "left")
+            .where("tail IS NULL OR id <> tail").drop("tail"))
+    return audit.verify_chain(kept, "chain", "id", anchors)
+
+
 def _tampered(chained):
     """Every 97th row's detail changed after the fact."""
     return chained.withColumn("detail", F.when(F.col("id") % 97 == 0, F.lit("{}"))
@@ -183,8 +207,8 @@ def audit_summary(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     policy_decision, policy_reason, policy_obligations, rbac_route, signature_validate,
     signature_known_event, signature_log, signature_refusals, events_without_card,
-    card_with_signature, pending_signatures, governed_events, audit_chain, audit_verify,
-    audit_append_only, audit_summary)}
+    card_with_signature, pending_signatures, governed_events, audit_chain, audit_append,
+    audit_verify, audit_deleted_segment, audit_append_only, audit_summary)}
 
 _DECIDE = """,
 held AS (SELECT * FROM (VALUES ('temp', 'temp'), ('ph', 'ph'), ('press', 'press'),
@@ -223,6 +247,18 @@ sig AS (SELECT req.event_id, CASE WHEN rejects THEN raw_signer ELSE signer END A
         FROM req JOIN cards USING (event_id)
         WHERE rejects OR (length(signer) >= 3 AND length(reason) >= 4))
 """
+_CHAIN = """
+    WITH RECURSIVE r AS (
+      SELECT user_id AS chain, event_id AS id,
+             row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n,
+             CAST(ts AS VARCHAR) || '+00' || event_type || 'evt-' || event_id || props AS text
+      FROM events),
+    m AS (SELECT *, CASE WHEN n < 7 THEN 'GENESIS' ELSE 'GENESIS:' || (n // 7) END AS mark FROM r),
+    c AS (SELECT chain, id, n, mark AS prev_hash, sha256(mark || text) AS row_hash FROM m WHERE n % 7 = 0
+          UNION ALL
+          SELECT m.chain, m.id, m.n, c.row_hash, sha256(c.row_hash || m.text)
+          FROM c JOIN m ON m.chain = c.chain AND m.n = c.n + 1 AND m.n % 7 <> 0)
+    SELECT chain, id, prev_hash, row_hash FROM c"""
 ORACLES = {
     "policy_decision": sql.with_events(_DECIDE + f"SELECT event_id, {_DECISION} AS decision FROM d"),
     "policy_reason": sql.with_events(_DECIDE + f"SELECT event_id, {_REASON} AS reason FROM d"),
@@ -232,7 +268,7 @@ ORACLES = {
             || CASE WHEN esign THEN ',require_esign' ELSE '' END AS obligations FROM d"""),
     "rbac_route": sql.with_events("""
         , a AS (SELECT * FROM (VALUES ('actor-0', 'temp'), ('actor-1', 'ph'), ('actor-2', 'press'),
-                                      ('actor-3', 'hum'), ('actor-4', 'hum')) t(actor, param))
+                                      ('actor-4', 'hum')) t(actor, param))
         SELECT event_id, actor FROM ev JOIN a USING (param)"""),
     "signature_validate": sql.with_events(_CARDS + """
         SELECT CASE WHEN length(signer) >= 3 AND length(reason) >= 4 THEN 1 ELSE 0 END AS valid,
@@ -256,18 +292,21 @@ ORACLES = {
     "governed_events": sql.with_events(_DECIDE + f"""
         SELECT event_id, param, zone, p_breach, top_driver, {_DECISION} AS decision, {_REASON} AS reason
         FROM d"""),
-    "audit_chain": """
-        WITH RECURSIVE r AS (
-          SELECT user_id AS chain, event_id AS id,
-                 row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
-                 CAST(ts AS VARCHAR) || '+00' || event_type || 'evt-' || event_id || props AS text
-          FROM events),
-        c AS (SELECT chain, id, n, 'GENESIS' AS prev_hash, sha256('GENESIS' || text) AS row_hash
-              FROM r WHERE n = 1
-              UNION ALL
-              SELECT r.chain, r.id, r.n, c.row_hash, sha256(c.row_hash || r.text)
-              FROM c JOIN r ON r.chain = c.chain AND r.n = c.n + 1)
-        SELECT chain, id, prev_hash, row_hash FROM c""",
+    "audit_chain": _CHAIN,
+    "audit_append": _CHAIN,
+    "audit_deleted_segment": """
+        WITH r AS (SELECT user_id AS chain, event_id AS id,
+                          (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 7 AS segment,
+                          row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events),
+        k AS (SELECT * FROM r WHERE segment <> 1 AND NOT (chain % 3 = 0 AND back = 1)),
+        s AS (SELECT chain, segment, count(*) AS was FROM r GROUP BY ALL),
+        n AS (SELECT chain, segment, count(*) AS is_ FROM k GROUP BY ALL),
+        w AS (SELECT s.chain, s.segment, coalesce(is_, 0) <> was AS wrong
+              FROM s LEFT JOIN n ON s.chain = n.chain AND s.segment = n.segment)
+        SELECT w.chain, any_value(coalesce(c.n, 0)) AS n_rows, 0 AS n_broken, CAST(NULL AS BIGINT) AS first_broken,
+               count(*) FILTER (wrong) AS n_wrong_segments, min(CASE WHEN wrong THEN segment END) AS first_wrong_segment
+        FROM w LEFT JOIN (SELECT chain, count(*) AS n FROM k GROUP BY chain) c ON c.chain = w.chain
+        GROUP BY w.chain""",
     "audit_verify": """
         SELECT user_id AS chain, count(*) AS n_rows,
                count(*) FILTER (event_id % 97 = 0 AND props <> '{}') AS n_broken,

@@ -9,6 +9,7 @@ from procwatch.plans.signals import CHECK_WINDOW, NUDGE
 from procwatch.session import materialize
 
 ORDER = ["ts", "event_id"]
+SEGMENT = 300  # small, so that the checked parameters have many segments
 
 
 def _r(name, digits=6):
@@ -22,16 +23,18 @@ def _history(spark, sf_dir):
 
 def _training(spark, sf_dir):
     return features.training_set(_history(spark, sf_dir), bands.dimension(spark), ORDER,
-                                 features=["k"])
+                                 features=["k"], segment_rows=SEGMENT)
 
 
 def rolling_features(spark, sf_dir):
-    df = features.rolling_features(_history(spark, sf_dir), ORDER, features=["k"])
+    df = features.rolling_features(_history(spark, sf_dir), ORDER, features=["k"],
+                                   segment_rows=SEGMENT)
     return df.select("param", "event_id", _r("v_avg"), _r("v_std"), _r("v_delta"), _r("k_mean"))
 
 
 def forward_label(spark, sf_dir):
-    df = features.forward_label(_history(spark, sf_dir), bands.dimension(spark), ORDER)
+    df = features.forward_label(_history(spark, sf_dir), bands.dimension(spark), ORDER,
+                                segment_rows=SEGMENT)
     return df.select("param", "event_id", "label")
 
 
@@ -42,7 +45,7 @@ def training_set(spark, sf_dir):
 
 def windowed_training_set(spark, sf_dir):
     windows = breach.window_aggregates(inputs.telemetry(spark, sf_dir), CHECK_WINDOW)
-    df = features.windowed_training_set(windows, bands.dimension(spark))
+    df = features.windowed_training_set(windows, bands.dimension(spark), segment_rows=SEGMENT)
     return df.select("param", F.unix_timestamp("window_start").alias("window_start"), "label")
 
 

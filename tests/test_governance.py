@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from procwatch.functions import policy
+from procwatch.session import materialize
 from procwatch.operators import audit, governance
 
 CASES = [
@@ -49,13 +50,6 @@ def test_role_subset(spark):
     assert [r[0] for r in df.coalesce(1).select(policy.has_all_roles(F.col("need"))).collect()] == [True, False]
 
 
-def test_routing_meets_own_agents_only(spark):
-    events = spark.createDataFrame([("e1", "ph"), ("e2", "hum")], "event_id string, param string")
-    roles = spark.createDataFrame([("x", "agent.execute.ph"), ("x", "rag.read"), ("y", "agent.execute.temp")],
-                                  "actor string, role string")
-    assert [r[:] for r in governance.route(events, roles).select("event_id", "actor").collect()] == [("e1", "x")]
-
-
 def _requests(spark, *rows):
     return spark.createDataFrame(
         [(e, s, "QA", r, dt.datetime(2024, 1, 1, 0, at), rej) for e, s, r, at, rej in rows],
@@ -139,5 +133,51 @@ def test_segments_are_anchored(spark, log_rows):
     anchors = audit.anchor_segments(chained, "chain", "id")
     assert anchors.where("chain = 'hot'").count() == 7
     tails = {(r["chain"], r["segment"]): r["row_hash"] for r in chained.orderBy("id").collect()}
-    assert all(r["detail"] == tails[r["chain"], r["of_segment"]] for r in anchors.collect())
+    assert all(r["detail"].split(":")[1] == tails[r["chain"], r["of_segment"]] for r in anchors.collect())
     assert {r["n_broken"] for r in audit.verify_chain(anchors, "chain", "of_segment").collect()} == {0}
+
+
+@pytest.mark.parametrize("kept,wrong,first", [
+    ("true", 0, None), ("segment <> 2", 1, 2), ("id < 247", 1, 6), ("NOT (segment = 1 AND id >= 77)", 1, 1),
+    ("chain = 'cold' OR id >= 240", 6, 0), ("chain = 'cold'", 7, 0)])
+def test_deleted_rows_show_against_anchors(spark, log_rows, kept, wrong, first):
+    chained = audit.build_chain(log_rows, "chain", "id", 40)
+    anchors = audit.anchor_segments(chained, "chain", "id")
+    got = {r["chain"]: r for r in audit.verify_chain(chained.where(kept), "chain", "id", anchors).collect()}
+    assert (got["hot"]["n_wrong_segments"], got["hot"]["first_wrong_segment"]) == (wrong, first)
+    assert got["cold"]["n_wrong_segments"] == 0
+    forged = anchors.withColumn("detail", F.when(F.col("of_segment") == 3, "40:x").otherwise(F.col("detail")))
+    assert {r["chain"]: r["n_wrong_segments"] for r in audit.verify_chain(
+        chained, "chain", "id", forged).collect()}["hot"] == 1
+
+
+@pytest.mark.parametrize("cuts", [[100], [40, 80], [1, 2, 3, 249], [0]])
+def test_appending_equals_building_at_once(spark, log_rows, cuts):
+    want = {(r["chain"], r["id"]): r["row_hash"] for r in audit.build_chain(log_rows, "chain", "id", 40).collect()}
+    stored = None
+    for low, high in zip([-1, *cuts], [*cuts, 10 ** 6]):
+        part = log_rows.where((F.col("id") > low) & (F.col("id") <= high))
+        heads = None if stored is None else audit.heads(stored, "chain", "id")
+        new = materialize(audit.build_chain(part, "chain", "id", 40, heads), "log")
+        stored = new if stored is None else stored.unionByName(new)
+    assert {(r["chain"], r["id"]): r["row_hash"] for r in stored.collect()} == want
+
+
+def test_policy_over_the_whole_grid(spark):
+    """Every parameter, zone, probability and role against the rule in words."""
+    params, zones = ["temp", "ph", "press", "cond", "hum"], ["control", "alarm", "trip"]
+    rows = [(p, z, x, r, [f"agent.execute.{r}"] if r else ["rag.read"]) for p in params for z in zones
+            for x in (0.0, 0.7999, 0.8, 1.0) for r in [*params, None]]
+    events = spark.createDataFrame(rows, "param string, zone string, p_breach double, role string, roles array<string>")
+    for r in governance.decide(events).collect():
+        signature = r["param"] == "ph" or r["zone"] == "trip" or r["p_breach"] >= 0.8
+        want = "DENY" if r["role"] != r["param"] else "REQUIRE_ESIGN" if signature else "ALLOW"
+        assert r["decision"] == want, r
+
+
+def test_an_event_goes_to_its_own_actor(spark):
+    events = spark.createDataFrame([("e1", "ph", "a"), ("e2", "ph", "b"), ("e3", "temp", "a"), ("e4", "ph", None)],
+                                   "event_id string, param string, actor string")
+    roles = spark.createDataFrame([(f"x{i}", "agent.execute.ph") for i in range(50)] + [
+        ("a", "agent.execute.ph"), ("a", "agent.execute.ph"), ("b", "rag.read")], "actor string, role string")
+    assert [r["event_id"] for r in governance.route(events, roles).collect()] == ["e1"]

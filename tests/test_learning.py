@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from procwatch.operators import features, latest, metrics, ordering
 
-SMALL = {"max_group_rows": 1, "segment_rows": 30}
+SMALL = {"segment_rows": 30}
 
 
 @pytest.fixture(scope="module")
@@ -70,9 +70,8 @@ def test_row_numbers_and_totals(spark, df, rows):
     got = {(r["param"], r["at"]): r["_idx"] for r in
            ordering.number_rows(df, ["param"], ["at"]).collect()}
     assert got == {(p, at): at for p, at, *_ in rows}
-    for limit in (10 ** 6, 1):
-        total = ordering.running_total(df, ["param"], ["at"], "at", "below", max_group_rows=limit)
-        assert all(r["below"] == r["at"] * (r["at"] - 1) // 2 for r in total.collect())
+    total = ordering.running_total(df, ["param"], ["at"], "at", "below")
+    assert all(r["below"] == r["at"] * (r["at"] - 1) // 2 for r in total.collect())
 
 
 def test_null_keys_are_kept(spark):
@@ -91,7 +90,7 @@ def test_copies_are_numbered(spark):
 
 def test_segment_smaller_than_frame_is_refused(df):
     with pytest.raises(ValueError):
-        ordering.framed(df, ["param"], ["at"], 9, 0, lambda w: {}, max_group_rows=1, segment_rows=5)
+        ordering.framed(df, ["param"], ["at"], 9, 0, lambda w: {}, segment_rows=5)
 
 
 @pytest.mark.parametrize("digits", [1, 4])
@@ -114,10 +113,8 @@ def test_metrics_against_loops(spark):
     pos = [p for g, y, p in rows if g == "a" and y]
     neg = [p for g, y, p in rows if g == "a" and not y]
     want = sum((x > y) + 0.5 * (x == y) for x in pos for y in neg) / (len(pos) * len(neg))
-    for limit in (10 ** 6, 1):
-        got = {r["param"]: r["auc"] for r in
-               metrics.roc_auc(df, "label", "p", ["param"], max_group_rows=limit).collect()}
-        assert got["a"] == pytest.approx(want) and got["one"] is None
+    got = {r["param"]: r["auc"] for r in metrics.roc_auc(df, "label", "p", ["param"]).collect()}
+    assert got["a"] == pytest.approx(want) and got["one"] is None
     m = {r["param"]: r for r in metrics.classification_metrics(df, "label", "p", ["param"]).collect()}
     said = [(y, p >= 0.5) for g, y, p in rows if g == "a"]
     assert m["a"]["precision"] == pytest.approx(sum(y for y, s in said if s) / sum(s for _, s in said))
