@@ -5,8 +5,9 @@ the shared folder.
 """
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from procwatch.functions import bands
 from procwatch.operators import profile
@@ -48,8 +49,9 @@ def json_tolerant_parse(spark, sf_dir):
 
 
 def iso_timestamp_parse(spark, sf_dir):
-    usable, _ = telemetry.split_usable(telemetry.parse_json(_messages(spark, sf_dir), "body"))
-    return usable.select("event_id", F.unix_millis("ts").alias("ts_ms"))
+    """All messages; those that are cut short have no time."""
+    parsed = telemetry.parse_json(_messages(spark, sf_dir), "body")
+    return parsed.select("event_id", F.unix_millis("ts").alias("ts_ms"))
 
 
 def features_long(spark, sf_dir):
@@ -144,76 +146,118 @@ def historian_scan(spark, sf_dir):
 # ---- keyed tables -----------------------------------------------------------------
 
 def vector_upsert(spark, sf_dir):
-    """Stored vectors with their payload, upserted twice: the second writing wins."""
+    """Stored vectors with their payload, upserted four times: the highest version wins, whatever
+    its label, and an older version that arrives late changes nothing."""
     folder = _folder(spark, "vectors")
     rows = inputs.table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.col("label").alias("shelf"), F.lit(1).alias("version"), "embedding")
-    newer = rows.where(F.col("vec_id") % 3 == 0).withColumn("version", F.lit(2))
-    for batch in (rows, newer):
-        tables.upsert_partitions(batch, folder, ["vec_id"], [F.desc("version")], "shelf")
-    back = spark.read.parquet(folder)
-    return back.select("vec_id", F.col("shelf").cast("int").alias("label"), "version",
-                       F.size("embedding").alias("n"))
+        "vec_id", "label", F.lit(1).alias("version"), "embedding")
+    newer = rows.where(F.col("vec_id") % 3 == 0).withColumns(
+        {"version": F.lit(3), "label": F.col("label") + 100})
+    late = rows.where(F.col("vec_id") % 6 == 0).withColumns(
+        {"version": F.lit(2), "label": F.col("label") + 200})
+    for batch in (rows, newer, late, newer):
+        tables.upsert(batch, folder, ["vec_id"], [F.desc("version")], parts=4)
+    return tables.read_upserted(spark, folder).select(
+        "vec_id", "label", "version", F.size("embedding").alias("n"))
 
 
 def upsert_sink(spark, sf_dir):
-    """Breach events sent twice in batches of one write each: one row per event remains."""
+    """Breach events sent again and again, compacted, and sent once more: one row per event remains."""
     folder = _folder(spark, "events")
     events = signals.events(spark, sf_dir).select("event_id", "param", "p_breach")
+
+    def send(number, param, p):
+        tables.append_batch(events.where(F.col("param") == param).withColumn("p_breach", F.lit(p)),
+                            folder, number)
+
     tables.append_batch(events, folder, 0)
-    tables.append_batch(events.where(F.col("param") == "ph").withColumn("p_breach", F.lit(1.0)),
-                        folder, 1)
-    tables.append_batch(events.where(F.col("param") == "ph").withColumn("p_breach", F.lit(0.5)),
-                        folder, 1)
+    for p in (1.0, 0.5):
+        send(1, "ph", p)
+    send(2, "hum", 0.75)
+    tables.compact(spark, folder, ["event_id"])
+    send(2, "hum", 0.25)  # the last batch is replayed after the compaction
     return tables.latest_state(spark, folder, ["event_id"])
 
 
 # ---- uploaded data sets -------------------------------------------------------------
 
-def _dataset(spark, sf_dir):
-    """Temperature readings in the columns of an uploaded data set."""
-    df = inputs.telemetry_with_features(spark, sf_dir).where(F.col("param") == "temp")
+# Per parameter: its value column, a column that stands for an input, the other parameter's
+# column that the data set holds too.
+DATASETS = {"temp": ("reactor_temperature_degc", "coolant_flow_rate_lpm", "ph"),
+            "ph": ("ph", "acid_base_dose_rate_l", "humidity_pct"),
+            "press": ("differential_pressure_kpa", "filter_dp_kpa", "ph"),
+            "cond": ("conductivity_us_cm", "water_flow_rate_lpm", "ph"),
+            "hum": ("humidity_pct", "hvac_fan_speed_rpm", "ph")}
+
+
+def _dataset(spark, sf_dir, param):
+    """A parameter's readings in the columns of an uploaded data set."""
+    value, of_input, other = DATASETS[param]
+    df = inputs.telemetry_with_features(spark, sf_dir).where(F.col("param") == param)
     return df.select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "batch_id", "asset", "zone",
-        F.col("event_id").alias("row"), F.col("value").alias("reactor_temperature_degc"),
-        F.element_at("features", "k").alias("coolant_flow_rate_lpm"),
-        F.when(F.col("zone") != "control", F.col("value")).alias("ph"))
+        F.col("event_id").alias("row"), F.col("value").alias(value),
+        F.element_at("features", "k").alias(of_input),
+        F.when(F.col("zone") != "control", F.col("value")).alias(other))
+
+
+def _of_all(spark, sf_dir, build):
+    """What `build` makes of each parameter's data set, in one table."""
+    return reduce(DataFrame.unionByName, [
+        build(_dataset(spark, sf_dir, p), p).withColumn("param", F.lit(p)) for p in DATASETS])
 
 
 def dataset_profile(spark, sf_dir):
-    return profile.dataset_profile(_dataset(spark, sf_dir), "temp", ["row"])
+    return _of_all(spark, sf_dir, profile.dataset_profile)
 
 
 def infer_types(spark, sf_dir):
-    return profile.infer_types(inputs.table(spark, sf_dir, "orders").withColumn(
-        "o_day", F.date_format("o_orderdate", "yyyy-MM-dd")), ["o_orderkey"])
+    """Also columns whose first values look like dates and most do not, and the other way round."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return profile.infer_types(inputs.table(spark, sf_dir, "orders").withColumns({
+        "o_day": day, "o_rarely": F.when(F.col("o_orderkey") % 40 < 10, day).otherwise("n/a"),
+        "o_mostly": F.when(F.col("o_orderkey") % 40 >= 10, day).otherwise("n/a"),
+        "o_sparse": F.when(F.col("o_orderkey") % 5 == 0, day)}))
 
 
 def dataset_preview(spark, sf_dir):
-    return profile.preview(_dataset(spark, sf_dir), ["row"], 50).select(
-        "row", "timestamp", "zone", "coolant_flow_rate_lpm")
+    return _of_all(spark, sf_dir, lambda df, p: profile.preview(df, ["row"], 50).select(
+        "row", "timestamp", "zone", F.col(DATASETS[p][1]).alias("input")))
 
 
 def adapt_columns(spark, sf_dir):
-    df = profile.adapt_columns(_dataset(spark, sf_dir), "temp")
-    return df.select("param", _r("value"), "coolant_flow_rate", "jacket_temperature",
-                     "steam_valve_position")
+    """The adapted inputs by their place in the parameter's list."""
+    def build(df, p):
+        adapted = profile.adapt_columns(df, p)
+        return adapted.select(_r("value"), *[F.col(c).alias(f"input_{i}") for i, c in enumerate(
+            c for c in adapted.columns if c not in ("value", "param"))])
+    return _of_all(spark, sf_dir, build)
 
 
 def dataset_promote(spark, sf_dir):
-    """A staged data set becomes the saved one of its parameter."""
+    """A staged data set becomes the saved one of its parameter and is no longer staged."""
     folder = _folder(spark, "uploads")
-    df = _dataset(spark, sf_dir)
-    tables.stage_dataset(df, folder, "temp")
-    return tables.promote_dataset(spark, folder, "temp").select("row", "zone")
+
+    def build(df, p):
+        tables.stage_dataset(df, folder, p)
+        saved = tables.promote_dataset(spark, folder, p)
+        return saved.select("row", "zone", F.lit(int(tables.is_staged(spark, folder, p))).alias("still_staged"))
+    return _of_all(spark, sf_dir, build)
 
 
 def dataset_catalog(spark, sf_dir):
-    df = _dataset(spark, sf_dir)
-    both = profile.all_datasets([profile.catalog_entry(df, "temp", "saved")],
-                                [profile.catalog_entry(df.where("zone <> 'control'"), "temp", "pending")])
-    return both.select("param", "status", "rows", "dependent_variable",
-                       F.array_join("independent_variables", ",").alias("inputs"), "model")
+    """The catalog, written as JSON and read back."""
+    folder = _folder(spark, "catalog")
+    saved, pending = [], []
+    for p in DATASETS:
+        df = _dataset(spark, sf_dir, p)
+        saved.append(profile.catalog_entry(df, p, "saved"))
+        pending.append(profile.catalog_entry(df.where("zone <> 'control'"), p, "pending"))
+    catalog = profile.all_datasets(saved, pending)
+    tables.write_json(catalog, folder)
+    return spark.read.schema(catalog.schema).json(folder).select(
+        "param", "status", "rows", "dependent_variable",
+        F.array_join("independent_variables", ",").alias("inputs"), "model")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -222,16 +266,55 @@ QUERIES = {f.__name__: f for f in (
     vector_upsert, upsert_sink, dataset_profile, infer_types, dataset_preview, adapt_columns,
     dataset_promote, dataset_catalog)}
 
+# What the catalog says of the columns.
+_SAID = {"timestamp": "Event time of the SCADA sample (ISO-8601 / wall-clock).",
+         "batch_id": "Manufacturing batch or lot identifier associated with the reading.",
+         "asset": "Equipment tag where the sensor reading was collected.",
+         "zone": "Operating zone classification at sample time (control / alarm / trip).",
+         "row": "Process / context variable: row.",
+         "reactor_temperature_degc": "Dependent variable — bioreactor temperature in °C.",
+         "ph": "Dependent variable — culture / media pH.",
+         "differential_pressure_kpa": "Dependent variable — filter differential pressure in kPa.",
+         "conductivity_us_cm": "Dependent variable — WFI conductivity in µS/cm.",
+         "humidity_pct": "Dependent variable — cleanroom relative humidity in %."}
+_MODEL = {"temp": "gbm", "ph": "random_forest", "press": "gbm", "cond": "svm", "hum": "ann"}
 _DS = """,
-ds AS (SELECT event_id AS row, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, zone, v,
-              CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM telem WHERE param = 'temp')
+ds AS (SELECT param, event_id AS row, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, zone, v,
+              CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM telem)
 """
+
+
+def _profile_sql():
+    rows = []
+    for p, (value, of_input, other) in DATASETS.items():
+        columns = [("timestamp", "datetime", "metadata"), ("batch_id", "string", "metadata"),
+                   ("asset", "string", "metadata"), ("zone", "string", "metadata"),
+                   ("row", "integer", "independent"), (value, "float", "dependent"),
+                   (of_input, "float", "independent"), (other, "float", "other")]
+        for name, kind, role in columns:
+            said = _SAID.get(name, f"Process / context variable: {name.replace('_', ' ')}.")
+            filled = {of_input: "nk", other: "nz"}.get(name, "n")
+            rows.append(f"SELECT param, '{name}' AS name, '{kind}' AS type, '{role}' AS role, '{said}' AS description, "
+                        f"{filled} AS non_null, n - {filled} AS nulls FROM c WHERE param = '{p}'")
+    return " UNION ALL ".join(rows)
+
+
+def _catalog_sql():
+    entries = []
+    for p, (value, of_input, other) in DATASETS.items():
+        for status, rows in (("saved", "count(*)"), ("pending", "count(*) FILTER (zone <> 'control')")):
+            entries.append(f"SELECT '{p}' AS param, '{status}' AS status, {rows} AS rows, '{value}' AS dependent_variable, "
+                           f"'row,{of_input},{other}' AS inputs, '{_MODEL[p]}' AS model FROM ds WHERE param = '{p}'")
+    return " UNION ALL ".join(entries)
+
+
 ORACLES = {
     "json_tolerant_parse": sql.with_telemetry("""
         SELECT param, count(*) AS n_rows, count(*) FILTER (event_id % 17 <> 0) AS n_values FROM telem
         WHERE event_id % 13 <> 0 GROUP BY param
         UNION ALL SELECT 'quarantine', count(*), 0 FROM events WHERE event_id % 13 = 0"""),
-    "iso_timestamp_parse": "SELECT event_id, epoch_us(ts) // 1000 AS ts_ms FROM events WHERE event_id % 13 <> 0",
+    "iso_timestamp_parse": """
+        SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN epoch_us(ts) // 1000 END AS ts_ms FROM events""",
     "features_long": """
         SELECT event_id, 'k' AS feature, CAST(json_extract(props, '$.k') AS DOUBLE) AS feature_value
         FROM events WHERE json_extract(props, '$.k') IS NOT NULL""",
@@ -261,39 +344,29 @@ ORACLES = {
     "historian_scan": sql.with_telemetry(
         "SELECT event_id, round(v + 1e-9::DOUBLE, 6) AS value FROM telem WHERE param = 'press'"),
     "vector_upsert": """
-        SELECT vec_id, label, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS version,
+        SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label,
+               CASE WHEN vec_id % 3 = 0 THEN 3 ELSE 1 END AS version,
                CAST(len(embedding) AS INT) AS n FROM embeddings""",
     "upsert_sink": sql.with_events(
-        "SELECT event_id, param, CASE WHEN param = 'ph' THEN 0.5::DOUBLE ELSE p_breach END AS p_breach FROM ev"),
+        "SELECT event_id, param, CASE param WHEN 'ph' THEN 0.5::DOUBLE WHEN 'hum' THEN 0.25::DOUBLE ELSE p_breach END AS p_breach FROM ev"),
     "dataset_profile": sql.with_telemetry(_DS + """
-        , c AS (SELECT count(*) AS n, count(k) AS nk, count(*) FILTER (zone <> 'control') AS nz FROM ds)
-        SELECT 'timestamp' AS name, 'datetime' AS type, 'metadata' AS role,
-               'Event time of the SCADA sample (ISO-8601 / wall-clock).' AS description, n AS non_null, 0 AS nulls FROM c
-        UNION ALL SELECT 'batch_id', 'string', 'metadata',
-               'Manufacturing batch or lot identifier associated with the reading.', n, 0 FROM c
-        UNION ALL SELECT 'asset', 'string', 'metadata', 'Equipment tag where the sensor reading was collected.', n, 0 FROM c
-        UNION ALL SELECT 'zone', 'string', 'metadata',
-               'Operating zone classification at sample time (control / alarm / trip).', n, 0 FROM c
-        UNION ALL SELECT 'row', 'integer', 'independent', 'Process / context variable: row.', n, 0 FROM c
-        UNION ALL SELECT 'reactor_temperature_degc', 'float', 'dependent',
-               'Dependent variable — bioreactor temperature in °C.', n, 0 FROM c
-        UNION ALL SELECT 'coolant_flow_rate_lpm', 'float', 'independent',
-               'Process / context variable: coolant flow rate lpm.', nk, n - nk FROM c
-        UNION ALL SELECT 'ph', 'float', 'other', 'Dependent variable — culture / media pH.', nz, n - nz FROM c"""),
+        , c AS (SELECT param, count(*) AS n, count(k) AS nk, count(*) FILTER (zone <> 'control') AS nz
+                FROM ds GROUP BY param) """ + _profile_sql()),
     "infer_types": """
-        SELECT * FROM (VALUES ('o_orderkey', 'integer'), ('o_custkey', 'integer'), ('o_orderstatus', 'string'),
-            ('o_totalprice', 'float'), ('o_orderdate', 'datetime'), ('o_orderpriority', 'string'),
-            ('o_day', 'datetime')) t(name, type)""",
-    "dataset_preview": sql.with_telemetry(
-        _DS + "SELECT row, timestamp, zone, k AS coolant_flow_rate_lpm FROM ds ORDER BY row LIMIT 50"),
+        WITH t AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS d, o_orderkey AS k, o_orderstatus, o_orderpriority FROM orders),
+        x AS (SELECT unnest([o_orderstatus, o_orderpriority, d, CASE WHEN k % 40 < 10 THEN d ELSE 'n/a' END,
+                             CASE WHEN k % 40 >= 10 THEN d ELSE 'n/a' END, CASE WHEN k % 5 = 0 THEN d END]) AS v,
+                     unnest(['o_orderstatus', 'o_orderpriority', 'o_day', 'o_rarely', 'o_mostly', 'o_sparse']) AS name FROM t)
+        SELECT name, CASE WHEN avg(CASE WHEN regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 1 ELSE 0 END) > 0.6
+                          THEN 'datetime' ELSE 'string' END AS type FROM x WHERE v IS NOT NULL GROUP BY name
+        UNION ALL SELECT * FROM (VALUES ('o_orderkey', 'integer'), ('o_custkey', 'integer'),
+            ('o_totalprice', 'float'), ('o_orderdate', 'datetime')) t(name, type)""",
+    "dataset_preview": sql.with_telemetry(_DS + """
+        SELECT param, row, timestamp, zone, k AS input FROM ds
+        QUALIFY row_number() OVER (PARTITION BY param ORDER BY row) <= 50"""),
     "adapt_columns": sql.with_telemetry(_DS + """
-        SELECT 'temp' AS param, round(v + 1e-9::DOUBLE, 6) AS value, k AS coolant_flow_rate,
-               0::DOUBLE AS jacket_temperature, 0::DOUBLE AS steam_valve_position FROM ds"""),
-    "dataset_promote": sql.with_telemetry(_DS + "SELECT row, zone FROM ds"),
-    "dataset_catalog": sql.with_telemetry(_DS + """
-        SELECT 'temp' AS param, 'saved' AS status, count(*) AS rows,
-               'reactor_temperature_degc' AS dependent_variable, 'row,coolant_flow_rate_lpm,ph' AS inputs,
-               'gbm' AS model FROM ds
-        UNION ALL SELECT 'temp', 'pending', count(*) FILTER (zone <> 'control'), 'reactor_temperature_degc',
-               'row,coolant_flow_rate_lpm,ph', 'gbm' FROM ds"""),
+        SELECT param, round(v + 1e-9::DOUBLE, 6) AS value, k AS input_0, 0::DOUBLE AS input_1,
+               0::DOUBLE AS input_2, 0::DOUBLE AS input_3, 0::DOUBLE AS input_4 FROM ds"""),
+    "dataset_promote": sql.with_telemetry(_DS + "SELECT param, row, zone, 0 AS still_staged FROM ds"),
+    "dataset_catalog": sql.with_telemetry(_DS + _catalog_sql()),
 }

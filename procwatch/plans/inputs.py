@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from procwatch.functions import bands
 from procwatch.operators import corpus
-from procwatch.session import spread
 
 # Which event type stands for which parameter.
 EVENT_TYPE_PARAM = {"click": "temp", "error": "ph", "purchase": "press",
@@ -15,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# How many partitions costly work on a table that lies in few files is dealt over; unset, rows
+# stay where they lie, as they should where a table has many files.
+PARTITIONS = "spark.procwatch.inputPartitions"
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    n = df.sparkSession.conf.get(PARTITIONS, None)
+    return df.repartition(int(n), *keys) if n else df
+
+
 def _param_of_type():
     pairs = [F.lit(x) for pair in EVENT_TYPE_PARAM.items() for x in pair]
     return F.element_at(F.create_map(*pairs), F.col("event_type"))
@@ -53,7 +62,7 @@ def _pick(names: list[str], number):
 
 def described_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` with a kind, a parameter and a path each, all from the id."""
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    docs = dealt(table(spark, sf_dir, "documents"), "doc_id")
     kind = _pick(DOCUMENT_TYPES, F.col("doc_id") % 3)
     number = F.col("doc_id").cast("string")
     return docs.select(

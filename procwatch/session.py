@@ -43,19 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back.
+def materialize(df: DataFrame, label: str, *partition: str) -> DataFrame:
+    """Write `df` once to the shared folder, by the `partition` columns if given, and read it back.
 
     Cuts the lineage, so a lost executor re-reads files instead of redoing the
     work, and values that depend on task layout are fixed once and for all.
     """
     spark = df.sparkSession
     path = f"{session_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def _file_system(spark: SparkSession, folder: str):
+def file_system(spark: SparkSession, folder: str):
+    """Hadoop's file system of a folder, and the folder as its path."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
@@ -63,7 +64,7 @@ def _file_system(spark: SparkSession, folder: str):
 def session_dir(spark: SparkSession) -> str:
     """This application's own part of the shared folder, removed when the driver ends."""
     folder = f"{shared_dir(spark).rstrip('/')}/procwatch/{spark.sparkContext.applicationId}"
-    files, path = _file_system(spark, folder)
+    files, path = file_system(spark, folder)
     files.mkdirs(path)
     files.deleteOnExit(path)
     return folder
@@ -71,15 +72,5 @@ def session_dir(spark: SparkSession) -> str:
 
 def discard_tables(spark: SparkSession) -> None:
     """Delete what this application has materialized; results that still read it end here."""
-    files, path = _file_system(spark, session_dir(spark))
+    files, path = file_system(spark, session_dir(spark))
     files.delete(path, True)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition by `keys` when the input is read in fewer pieces than there are cores.
-
-    For costly work per row on a small table. A table read in many pieces is left as
-    it lies, so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores, *keys)

@@ -10,20 +10,64 @@ from procwatch.operators import models, profile
 from procwatch.sources import files, tables, telemetry
 
 
+def _rows(spark, *r):
+    return spark.createDataFrame(r, "id string, shelf string, v int, at int")
+
+
+def test_upsert_keeps_one_row_per_key(spark, tmp_path):
+    path = str(tmp_path / "t")
+
+    def upsert(*r):
+        tables.upsert(_rows(spark, *r), path, ["id"], [F.desc("at")], parts=3)
+
+    upsert(("a", "x", 1, 1), ("b", "x", 1, 1), ("c", "y", 1, 5))
+    upsert(("a", "y", 2, 2), ("a", "z", 3, 3), ("n", "x", 9, 1))  # a payload may change, a key may come twice
+    upsert(("c", "late", 8, 4), ("a", "y", 2, 2))                 # older versions that arrive late
+    got = {r["id"]: (r["shelf"], r["v"]) for r in tables.read_upserted(spark, path).collect()}
+    assert got == {"a": ("z", 3), "b": ("x", 1), "c": ("y", 1), "n": ("x", 9)}
+
+
 def test_upsert_rewrites_touched_partitions_only(spark, tmp_path):
     path = str(tmp_path / "t")
+    rows = [(f"k{i}", "x", 1, 1) for i in range(60)]
+    tables.upsert(_rows(spark, *rows), path, ["id"], [F.desc("at")], parts=6)
+    before = {p: os.listdir(f"{path}/{p}") for p in os.listdir(path) if p.startswith("key_part")}
+    tables.upsert(_rows(spark, ("k0", "x", 2, 2)), path, ["id"], [F.desc("at")], parts=6)
+    changed = [p for p, files in before.items() if os.listdir(f"{path}/{p}") != files]
+    assert len(before) == 6 and len(changed) == 1 and tables.read_upserted(spark, path).count() == 60
+
+
+def test_compaction_survives_a_replayed_batch(spark, tmp_path):
+    path = str(tmp_path / "b")
+
+    def batch(number, *ids):
+        tables.append_batch(spark.createDataFrame([(i, number) for i in ids], "id string, v int"), path, number)
+
+    for n in range(5):
+        batch(n, "a", f"only{n}")
+    tables.compact(spark, path, ["id"])
+    assert tables.generations(spark, path) == [3, 4]
+    batch(4, "a", "only4")
+    tables.compact(spark, path, ["id"])
+    got = {r["id"]: r["v"] for r in tables.latest_state(spark, path, ["id"]).collect()}
+    assert got == {"a": 4, **{f"only{n}": n for n in range(5)}}
+
+
+def test_promotion_moves_the_staged_set(spark, tmp_path):
+    folder = str(tmp_path / "u")
+    for v in (1, 2):
+        tables.stage_dataset(_rows(spark, ("a", "x", v, v)), folder, "temp")
+        assert tables.is_staged(spark, folder, "temp")
+        assert [r["v"] for r in tables.promote_dataset(spark, folder, "temp").collect()] == [v]
+        assert not tables.is_staged(spark, folder, "temp")
+    with pytest.raises(ValueError):
+        tables.promote_dataset(spark, folder, "temp")
+    assert tables.read_if_there(spark, f"{folder}/saved/param=temp").count() == 1
 
-    def rows(*r):
-        return spark.createDataFrame(r, "id string, day string, v int, at int")
 
-    tables.upsert_partitions(rows(("a", "d1", 1, 1), ("b", "d1", 1, 1), ("c", "d2", 1, 1)), path,
-                             ["id"], [F.desc("at")], "day")
-    before = os.listdir(f"{path}/day=d2")
-    tables.upsert_partitions(rows(("a", "d1", 2, 2), ("a", "d1", 3, 3), ("n", "d1", 9, 1)), path,
-                             ["id"], [F.desc("at")], "day")
-    got = {r["id"]: r["v"] for r in spark.read.parquet(path).collect()}
-    assert got == {"a": 3, "b": 1, "c": 1, "n": 9}
-    assert os.listdir(f"{path}/day=d2") == before
+def test_metrics_are_written_as_json(spark, tmp_path):
+    tables.write_json(_rows(spark, ("a", "x", 1, 1)), str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m")).first()["shelf"] == "x"
 
 
 def test_batches_are_idempotent_and_last_wins(spark, tmp_path):
@@ -75,23 +119,28 @@ def test_roles_and_descriptions(spark):
     columns = ["timestamp", "ph", "humidity_pct", "breach_within_15", "co2_accumulation", "my_col"]
     assert [profile.column_role(c, columns, "ph") for c in columns] == [
         "metadata", "dependent", "other", "label", "independent", "independent"]
-    assert profile.column_description("my_col", "ph") == "Process / context variable: my col."
-    assert profile.column_descriptions(spark).where("name = 'zone'").count() == 1
+    names = spark.createDataFrame([("my_col",), ("zone",), ("agitator_speed",)], "name string")
+    said = {r["name"]: r["description"] for r in profile.described(names, "ph").collect()}
+    assert said["my_col"] == "Process / context variable: my col."
+    assert said["zone"].startswith("Operating zone") and said["agitator_speed"].startswith("Agitator RPM")
 
 
 def test_columns_are_adapted_by_prefix(spark):
     df = spark.createDataFrame([(7.1, 1.0, 2.0)], "ph double, acid_base_dose_rate_l double, agitator double")
+    assert profile.feature_sources(["agitator", "agitator_speed_rpm"], "ph")["agitator_speed"] == "agitator"
+    assert profile.feature_sources(["agitator_speed_rpm", "agitator"], "ph")["agitator_speed"] == "agitator_speed_rpm"
     row = profile.adapt_columns(df, "ph").first().asDict()
     assert row == {"value": 7.1, "acid_base_dose_rate": 1.0, "co2_accumulation": 0.0, "agitator_speed": 2.0,
                    "probe_drift_mv": 0.0, "dissolved_oxygen": 0.0, "param": "ph"}
 
 
 def test_types(spark):
-    df = spark.createDataFrame([(i, "2024-01-0%d" % (1 + i % 9) if i % 4 else "n/a", None, True, 1.5, "x")
-                                for i in range(20)],
-                               "i int, d string, e string, b boolean, f double, s string")
-    got = {r["name"]: r["type"] for r in profile.infer_types(df, ["i"]).collect()}
-    assert got == {"i": "integer", "d": "datetime", "e": "string", "b": "boolean", "f": "float", "s": "string"}
+    df = spark.createDataFrame([(i, "2024-01-0%d" % (1 + i % 9) if i % 4 else "n/a", None, True, 1.5, "x",
+                                 "2024-01-01" if i < 10 else "n/a") for i in range(20)],
+                               "i int, d string, e string, b boolean, f double, s string, first string")
+    got = {r["name"]: r["type"] for r in profile.infer_types(df).collect()}
+    assert got == {"i": "integer", "d": "datetime", "e": "string", "b": "boolean", "f": "float", "s": "string",
+                   "first": "string"}
 
 
 def test_shared_folder_is_the_one_the_session_names(spark, tmp_path):
