@@ -88,6 +88,8 @@ VECTOR_SIZE = 384
 MIN_NORM = 1e-9
 ALPHA = 0.6
 TOP_K = 6
+POOL_FACTOR = 4
+POOL_MIN = 20
 SUBQUESTION_TOP_K = 4
 MMR_LAMBDA = 0.72
 RRF_BASE = 60

@@ -111,36 +111,67 @@ def corpus_size(index: DataFrame) -> DataFrame:
     return index.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("n_words").alias("avg_words"))
 
 
+def kind_counts(chunks: DataFrame) -> DataFrame:
+    """Chunks per parameter and source type."""
+    return chunks.groupBy("param", "source_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def idf(df: Column, n_chunks: Column) -> Column:
     return F.log(n_chunks - df + F.lit(0.5)) - F.log(df + F.lit(0.5))
 
 
+_TABLES = ("chunks", "entries", "terms", "size", "kinds")
+
+
 @dataclass(frozen=True)
 class Index:
-    """An index and the statistics searches need: one row for the corpus, one per term."""
+    """An index and the statistics searches need: one row for the corpus, one per term, one per
+    parameter and source type. Entries are stored by source type, so that searches for some types
+    read their files only."""
 
     chunks: DataFrame
     entries: DataFrame
     terms: DataFrame
     size: DataFrame
+    kinds: DataFrame
 
     @classmethod
     def of(cls, chunks: DataFrame) -> "Index":
         """Index chunks. All parts are written once, as every search reads them again."""
-        entries = materialize(index_chunks(chunks), "entries")
+        entries = materialize(index_chunks(chunks), "entries", "source_type")
         return cls(chunks, entries, materialize(term_stats(entries), "terms"),
-                   materialize(corpus_size(entries), "size"))
+                   materialize(corpus_size(entries), "size"), materialize(kind_counts(entries), "kinds"))
+
+    def append(self, chunks: DataFrame) -> "Index":
+        """The index with the chunks it does not hold yet: only these are counted, and their
+        counts are added to the stored ones."""
+        new = materialize(chunks.join(self.entries.select("chunk_id"), "chunk_id", "left_anti"), "new-chunks")
+        entries = materialize(index_chunks(new), "entries", "source_type")
+
+        def added(old: DataFrame, more: DataFrame, keys: list[str], n: str) -> DataFrame:
+            return old.unionByName(more).groupBy(*keys).agg(F.sum(n).alias(n))
+
+        words = F.col("n_chunks") * F.coalesce("avg_words", F.lit(0.0))
+        sums = (self.size.unionByName(corpus_size(entries))
+                .agg(F.sum("n_chunks").alias("n_chunks"), F.sum(words).alias("_words")))
+        size = sums.select("n_chunks", (F.round("_words") / F.col("n_chunks")).alias("avg_words"))
+        return Index(
+            self.chunks.unionByName(new), self.entries.unionByName(entries),
+            materialize(added(self.terms, term_stats(entries), ["term"], "df"), "terms"),
+            materialize(size, "size"),
+            materialize(added(self.kinds, kind_counts(entries), ["param", "source_type"], "n"), "kinds"))
 
     def write(self, folder: str) -> None:
         """Store chunks, entries and statistics; searches then read instead of counting."""
-        for name, table in self._tables().items():
-            table.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+        for name in _TABLES:
+            writer = getattr(self, name).write.mode("overwrite")
+            if name == "entries":
+                writer = writer.partitionBy("source_type")
+            writer.parquet(f"{folder.rstrip('/')}/{name}")
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> "Index":
-        return cls(*[spark.read.parquet(f"{folder.rstrip('/')}/{name}")
-                     for name in ("chunks", "entries", "terms", "size")])
-
-    def _tables(self) -> dict[str, DataFrame]:
-        return {"chunks": self.chunks, "entries": self.entries, "terms": self.terms,
-                "size": self.size}
+        tables = {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in _TABLES if name != "entries"}
+        # the source type is a folder's name, so its kind is given
+        tables["entries"] = spark.read.schema(INDEX_SCHEMA).parquet(f"{folder.rstrip('/')}/entries")
+        return cls(**tables)

@@ -1,5 +1,6 @@
 """Registered queries over the corpus, the index and search."""
 
+import hashlib
 import uuid
 
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from procwatch.functions import chunking, text as tx
 from procwatch.operators import corpus, index, search
 from procwatch.plans import inputs, sql
 from procwatch.plans.signals import NUDGE
-from procwatch.session import session_dir, spread
+from procwatch.session import file_system, session_dir
 
 POOL = search.pool_size(6)
 
@@ -18,7 +19,7 @@ def _r(name, digits=6):
 
 
 def _documents(spark, sf_dir):
-    return spread(inputs.table(spark, sf_dir, "documents"), "doc_id")
+    return inputs.dealt(inputs.table(spark, sf_dir, "documents"), "doc_id")
 
 
 # ---- text ---------------------------------------------------------------------
@@ -125,15 +126,27 @@ def postings(spark, sf_dir):
     return index.postings(_entries(spark, sf_dir))
 
 
-def term_stats(spark, sf_dir):
-    built = index.Index.of(inputs.document_chunks(spark, sf_dir))
-    size = built.size.first()
+def _term_table(terms, size):
     n_chunks = F.lit(size["n_chunks"])
-    return built.terms.select(
+    return terms.select(
         "term", "df", _r_of(index.idf(F.col("df"), n_chunks), "idf"),
         n_chunks.alias("n_chunks"), _r_of(F.lit(size["avg_words"]), "avg_words"))
 
 
+def term_stats(spark, sf_dir):
+    """Counted in one pass from the entries as they are made; none is stored."""
+    entries = _entries(spark, sf_dir)
+    return _term_table(index.term_stats(entries), index.corpus_size(entries).first())
+
+
+def index_append(spark, sf_dir):
+    """Half of the documents indexed, then all appended: only the other half is counted anew."""
+    chunks = inputs.document_chunks(spark, sf_dir)
+    half = index.Index.of(chunks.where(F.col("source_type") != "oem"))
+    grown = half.append(chunks)
+    return _term_table(grown.terms, grown.size.first())
+
+
 def _r_of(column, name, digits=6):
     return F.round(column + F.lit(NUDGE), digits).alias(name)
 
@@ -155,32 +168,35 @@ def index_roundtrip(spark, sf_dir):
 
 # ---- search -------------------------------------------------------------------
 
+def stored_index(spark, sf_dir, name, chunks):
+    """The index of a corpus, written to the session's folder when it is first asked for."""
+    folder = f"{session_dir(spark)}/index/{hashlib.md5(sf_dir.encode()).hexdigest()}/{name}"
+    files, done = file_system(spark, f"{folder}/kinds/_SUCCESS")  # written last
+    if not files.exists(done):
+        index.Index.of(chunks()).write(folder)
+    return index.Index.read(spark, folder)
+
+
 def _search_index(spark, sf_dir):
-    return index.Index.of(inputs.document_chunks(spark, sf_dir))
+    return stored_index(spark, sf_dir, "documents", lambda: inputs.document_chunks(spark, sf_dir))
 
 
 def query_candidates(spark, sf_dir):
     return search.candidate_counts(inputs.search_queries(spark, sf_dir),
-                                   inputs.document_chunks(spark, sf_dir))
+                                   index.kind_counts(inputs.document_chunks(spark, sf_dir)))
 
 
 def candidate_filter(spark, sf_dir):
     """Candidates and score ranges per query, as the first reading of the index gives them."""
-    built = _search_index(spark, sf_dir)
-    parts = []
-    for block in search.query_blocks(inputs.search_queries(spark, sf_dir), built):
-        ids = F.array(*[F.lit(i) for i in block.ids])
-        ranges = search.score_ranges(built.entries, block)
-        falls_back = F.col("n_cand") == 0
+    found = search.candidate_ranges(inputs.search_queries(spark, sf_dir), _search_index(spark, sf_dir))
+    falls_back = F.col("n_cand") == 0
 
-        def of(name):
-            return F.when(falls_back, F.col(f"{name}_all")).otherwise(F.col(f"{name}_cand"))
+    def of(name):
+        return F.when(falls_back, F.col(f"{name}_all")).otherwise(F.col(f"{name}_cand"))
 
-        parts.append(ranges.select(
-            F.get(ids, F.col("query_no")).alias("query_id"),
-            F.when(falls_back, F.col("n_all")).otherwise(F.col("n_cand")).alias("n"),
-            *[_r_of(of(n), n) for n in ("dense_min", "dense_max", "lexical_min", "lexical_max")]))
-    return search._union(parts)
+    return found.select(
+        "query_id", F.when(falls_back, F.col("n_all")).otherwise(F.col("n_cand")).alias("n"),
+        *[_r_of(of(n), n) for n in ("dense_min", "dense_max", "lexical_min", "lexical_max")])
 
 
 def bm25_scores(spark, sf_dir):
@@ -229,7 +245,7 @@ def knn_cosine(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     tokenize_ws, tokenize_alnum, hash_bucket, snippet, hard_split_chunks, chunk_id, chunk_text,
     infer_source_type, verbalize_rows, corpus_union, corpus_stats, corpus_append, front_matter,
-    postings, term_stats, hash_embeddings, index_roundtrip, query_candidates, candidate_filter,
+    postings, term_stats, index_append, hash_embeddings, index_roundtrip, query_candidates, candidate_filter,
     bm25_scores, dense_scores, hybrid_scores, topk_hybrid, mmr_rerank, knn_cosine)}
 
 _SUFFIX = "round({0} + 1e-9::DOUBLE, 6) AS {1}"
@@ -294,9 +310,9 @@ ORACLES = {
         SELECT doc_id, 'DOC-' || doc_id || ' r1' AS id, 'On: ' || source AS title, lang, 3 AS n_keys,
                md5(regexp_replace(text, '^{sql.WS}+|{sql.WS}+$', '', 'g')) AS body_md5 FROM documents""",
     "postings": sql.with_ctes(sql.INDEX, "SELECT chunk_id, term, tf FROM post"),
-    "term_stats": sql.with_ctes(sql.INDEX, f"""
+    **dict.fromkeys(("term_stats", "index_append"), sql.with_ctes(sql.INDEX, f"""
         SELECT term, df, {_SUFFIX.format('idf', 'idf')}, n AS n_chunks,
-               {_SUFFIX.format('avgdl', 'avg_words')} FROM idf, size"""),
+               {_SUFFIX.format('avgdl', 'avg_words')} FROM idf, size""")),
     "hash_embeddings": sql.with_ctes(sql.INDEX, f"""
         SELECT chunk_id, bucket, n, {_SUFFIX.format('n / norm', 'weight')} FROM bk JOIN nrm USING (chunk_id)"""),
     "index_roundtrip": sql.with_ctes(sql.INDEX, """

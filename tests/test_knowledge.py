@@ -200,7 +200,7 @@ def test_filters_and_fallback(queries, built):
     assert "q3" not in found and "q1" in found
     payload = strict.where("query_id = 'q1'").join(built.chunks, "chunk_id").collect()
     assert {r["param"] for r in payload} <= {"ph", None} and {r["source_type"] for r in payload} == {"sop"}
-    counts = {r["query_id"]: r[1:] for r in search.candidate_counts(queries, built.chunks).collect()}
+    counts = {r["query_id"]: r[1:] for r in search.candidate_counts(queries, built.kinds).collect()}
     assert counts["q3"] == (0, 1) and counts["q2"] == (151, 0)
 
 
@@ -247,6 +247,57 @@ def test_index_survives_writing(spark, built, queries, tmp_path):
     assert len(row) == 384 and sum(x * x for x in row) == pytest.approx(1.0, abs=1e-5)
 
 
+def _jobs(spark, run):
+    """How many jobs a function starts."""
+    group = f"jobs-{run.__name__}-{id(run)}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_jobs_do_not_grow_with_the_queries(spark, built):
+    def asked(n):
+        return spark.createDataFrame([(f"q{i}", "valve check", None, None) for i in range(n)],
+                                     "query_id string, text string, param string, source_types array<string>")
+
+    def few():
+        search.search(asked(4), built, block=8).collect()
+
+    def many():
+        search.search(asked(40), built, block=8).collect()
+    few()
+    assert abs(_jobs(spark, many) - _jobs(spark, few)) <= 2  # adaptive plans differ a little
+
+
+def test_searches_read_the_files_of_their_types(built, spark):
+    asked = spark.createDataFrame([("a", "valve", None, ["sop"]), ("b", "seal", None, ["sop", "none"])],
+                                  "query_id string, text string, param string, source_types array<string>")
+    entries = search.wanted_entries(asked, built)
+    assert {f.split("source_type=")[1].split("/")[0] for f in entries.inputFiles()} >= {"sop"}
+    assert "PartitionFilters: [" in entries._jdf.queryExecution().executedPlan().toString()
+    assert entries.select("source_type").distinct().collect() == [("sop",)]
+    falls_back = spark.createDataFrame([("a", "valve", None, ["none"])], asked.schema)
+    assert search.wanted_entries(falls_back, built) is built.entries
+
+
+def test_appending_to_an_index_equals_building_it(spark, built, queries):
+    first = index.Index.of(built.chunks.where("chunk_id < 'c040'"))
+    grown = first.append(built.chunks).append(built.chunks)  # the second time nothing is new
+    for name in ("terms", "kinds", "size"):
+        a, b = getattr(grown, name), getattr(built, name)
+        assert sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+    assert sorted(search.search(queries, grown).collect()) == sorted(search.search(queries, built).collect())
+
+
+def test_nearest_with_text_keys(spark):
+    b = spark.createDataFrame([("x", [1.0, 0.0]), ("b", [2.0, 0.0]), ("c", [0.0, 1.0])], "id string, v array<float>")
+    q = spark.createDataFrame([("one", [1.0, 0.0])], "qid string, v array<double>")
+    got = search.nearest(b, q, "id", "v", "qid", 2).collect()
+    assert [(r["query_id"], r["id"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [
+        ("one", "b", 0), ("one", "x", 1)]
+
+
 def test_nearest_blocks(spark):
     rng = np.random.default_rng(2)
     base = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(80)]
@@ -323,6 +374,7 @@ def test_cards_are_cited_and_follow_the_signature_rule(spark, dim, plant):
         ("e2", "ph", "BR-9", 6.5, "alarm", 0.2, ""), ("e3", "cond", None, 1200.0, "trip", 0.4, None),
         ("e4", "hum", None, 60.0, "alarm", 0.92, ""), ("e5", "nope", None, 1.0, "trip", 1.0, "")],
         "event_id string, param string, asset string, v_avg double, zone string, p_breach double, top_driver string")
+    assert [r["event_id"] for r in remedy.unplanned(events, dim).collect()] == ["e5"]
     cards = {r["event_id"]: r for r in remedy.remedy_cards(events, dim, plant).collect()}
     assert set(cards) == {"e1", "e2", "e3", "e4"}
     e1 = cards["e1"]
