@@ -1,5 +1,8 @@
 """Telemetry: JSON parsing, Kafka and file sources."""
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from procwatch import fixed_values as fv
@@ -100,10 +103,31 @@ def json_file_stream(spark: SparkSession, folder: str, files_per_batch: int | No
     return reader.load(folder)
 
 
-def telemetry_stream(raw: DataFrame) -> DataFrame:
-    """Usable telemetry with its watermark, from a raw stream with a `value` column."""
+def telemetry_stream(raw: DataFrame, delay: str = fv.WATERMARK,
+                     groups: Sequence[Sequence[str]] | None = None) -> DataFrame:
+    """Usable telemetry with its watermark, from a raw stream with a `value` column.
+
+    One watermark for all parameters follows the newest reading of any of them, so a parameter
+    that lags behind the others by more than `delay` loses rows. With `groups` of parameters
+    each group has a watermark of its own, and Spark goes by the slowest (the `min` policy,
+    its default): no group loses rows to another. The source is then read once per group, and a
+    group that sends nothing, at first or after a restart, holds all windows open until it does;
+    put a parameter that may fall silent into a group with another. Parameters of no group are
+    dropped.
+    """
     usable, _ = split_usable(parse_json(raw.select("value"), "value"))
-    return usable.withWatermark("ts", fv.WATERMARK)
+    if not groups:
+        return usable.withWatermark("ts", delay)
+    return reduce(DataFrame.unionAll, [
+        usable.where(F.col("param").isin(list(group))).withWatermark("ts", delay) for group in groups])
+
+
+def quarantine_stream(raw: DataFrame) -> DataFrame:
+    """The records `telemetry_stream` cannot use: their text and what is wrong."""
+    parsed = parse_json(raw.select("value", F.col("value").alias("text")), "value")
+    return parsed.where(~is_usable()).select(
+        "text", F.when(F.col("param").isNull() & F.col("ts").isNull(), "unreadable")
+        .when(F.col("param").isNull(), "no parameter").otherwise("no time").alias("problem"))
 
 
 def by_topic(batch: DataFrame, topic: str) -> DataFrame:

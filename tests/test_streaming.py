@@ -2,11 +2,14 @@
 
 import datetime as dt
 import json
+import os
 
-import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from procwatch.operators import breach
+from procwatch.operators import audit, breach, models
 from procwatch.plans import inputs
 from procwatch.sources import tables, telemetry
 from procwatch.streaming import breaches
@@ -55,8 +58,9 @@ def test_late_rows_restart_and_outputs(spark, dim, tmp_path):
     features = spark.read.parquet(str(tmp_path / "out" / "features"))
     assert features.groupBy("param", "window_start").count().where("count > 1").count() == 0
     assert {r["param"] for r in features.collect()} == {"temp", "ph"}
-    audit = spark.read.parquet(str(tmp_path / "out" / "audit")).collect()
-    assert [(a["action"], json.loads(a["detail"])["param"]) for a in audit] == [("breach.detected", "temp")]
+    log = spark.read.parquet(str(tmp_path / "out" / "audit"))
+    assert [(a["action"], json.loads(a["detail"])["param"]) for a in log.collect()] == [("breach.detected", "temp")]
+    assert [(r["n_rows"], r["n_broken"]) for r in audit.verify_chain(log, "chain", "ts").collect()] == [(1, 0)]
 
 
 def test_replayed_batch_replaces_itself(spark, dim, tmp_path):
@@ -107,14 +111,102 @@ def test_live_view_keeps_the_latest(spark, tmp_path):
     assert got == [2.0, 3.0, 4.0]
 
 
-def test_fast_parameter_moves_the_watermark_of_a_slow_one(spark, dim, tmp_path):
-    """Spark's watermark is the newest time of all parameters: the slow one's rows are lost."""
-    folder = tmp_path / "in"
-    for i, line in enumerate((("temp", 600, 37.0, "control"), ("temp", 700, 37.0, "control"),
-                              ("hum", 5, 60.0, "alarm"), ("temp", 800, 37.0, "control"))):
-        _drop(folder, f"{i}.json", _lines(line))
-        _run(spark, dim, tmp_path)
+FAST_AND_SLOW = (("temp", 600, 37.0, "control"), ("temp", 700, 37.0, "control"), ("hum", 5, 60.0, "alarm"),
+                 ("temp", 800, 37.0, "control"), ("hum", 900, 47.0, "control"))
+
+
+def _send_one_by_one(spark, dim, tmp_path, **watermarks):
+    for i, line in enumerate(FAST_AND_SLOW):
+        _drop(tmp_path / "in", f"{i}.json", _lines(line))
+        stream = telemetry.telemetry_stream(telemetry.json_file_stream(spark, str(tmp_path / "in"), 1), **watermarks)
+        breaches.start(stream, dim, str(tmp_path / "out"), str(tmp_path / "check"), trigger=ONCE).awaitTermination(120)
+    return spark.read.parquet(str(tmp_path / "out" / "features"))
+
+
+def test_one_watermark_follows_the_fastest_parameter(spark, dim, tmp_path):
+    assert _send_one_by_one(spark, dim, tmp_path).where("param = 'hum'").count() == 0
+
+
+def test_a_longer_delay_keeps_a_slow_parameter(spark, dim, tmp_path):
+    stored = _send_one_by_one(spark, dim, tmp_path, delay="15 minutes")
+    assert stored.where("param = 'hum'").count() == 0  # not closed yet, but not lost
+    _drop(tmp_path / "in", "9.json", _lines(("temp", 3000, 37.0, "control")))
+    stream = telemetry.telemetry_stream(telemetry.json_file_stream(spark, str(tmp_path / "in"), 1), "15 minutes")
+    breaches.start(stream, dim, str(tmp_path / "out"), str(tmp_path / "check"), trigger=ONCE).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out" / "features")).where("param = 'hum'").count() == 2
+
+
+def test_own_watermarks_lose_no_row(spark, dim, tmp_path):
+    for i, line in enumerate(FAST_AND_SLOW):
+        _drop(tmp_path / "in", f"{i}.json", _lines(line))
+        os.utime(tmp_path / "in" / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # their order
+    stream = telemetry.telemetry_stream(telemetry.json_file_stream(spark, str(tmp_path / "in"), 1),
+                                        groups=[["temp"], ["hum"]])
+    breaches.start(stream, dim, str(tmp_path / "out"), str(tmp_path / "check"), trigger=ONCE).awaitTermination(120)
     stored = spark.read.parquet(str(tmp_path / "out" / "features"))
-    assert stored.where("param = 'hum'").count() == 0
-    with pytest.raises(AssertionError):
-        assert stored.where("param = 'temp'").count() == 0
+    # a silent parameter holds all windows open; once it moves on, the rest is closed
+    assert {(r["param"], r["n"]) for r in stored.groupBy("param").agg(F.count("*").alias("n")).collect()} == {
+        ("hum", 1), ("temp", 2)}
+
+
+def test_chain_goes_on_over_batches_and_replays(spark, tmp_path):
+    def batch(*ids):
+        return spark.createDataFrame([("ph", START + dt.timedelta(seconds=i), "warn", "a", f"e{i}", "{}") for i in ids],
+                                     "chain string, ts timestamp, level string, action string, event_id string, detail string")
+
+    folder = str(tmp_path / "log")
+    for number, ids in ((0, (0, 1)), (1, (2, 3)), (1, (2, 3)), (2, ()), (3, (4,)), (3, (4,))):
+        breaches.append_audit(batch(*ids), folder, number)
+    log = spark.read.parquet(f"{folder}/audit")
+    whole = audit.build_chain(batch(0, 1, 2, 3, 4), "chain", "ts")
+    assert {r["row_hash"] for r in log.collect()} == {r["row_hash"] for r in whole.collect()}
+    assert tables.generations(spark, f"{folder}/audit_heads") == [2, 3]
+
+
+def test_two_topics_are_routed(spark, dim, tmp_path):
+    reading = _lines(("temp", 5, 37.5, "control")).strip()
+    event = json.dumps({"event_id": "e1", "param": "ph", "v_avg": 7.5, "window_start": "2024-01-01T00:00:00"})
+    rows = [("scada.telemetry", reading), ("scada.telemetry", "{cut"), ("pdm.breaches", event), ("pdm.breaches", "[]")]
+    consume = breaches.consume(str(tmp_path / "c"), dim)
+    for number in (0, 1, 1):
+        consume(spark.createDataFrame(rows, "topic string, value string"), number)
+    assert breaches.read_live_view(spark, str(tmp_path / "c" / "live")).count() == 2
+    events = tables.latest_state(spark, str(tmp_path / "c" / "events"), ["event_id"]).collect()
+    assert [(e["event_id"], e["asset"], e["zone"]) for e in events] == [("e1", "BR-12", "alarm")]
+    bad = spark.read.parquet(str(tmp_path / "c" / "quarantine")).groupBy("of").count().collect()
+    assert {(r["of"], r["count"]) for r in bad} == {("telemetry", 2), ("breach", 2)}
+    log = spark.read.parquet(str(tmp_path / "c" / "audit"))
+    assert [(r["n_rows"], r["n_broken"]) for r in audit.verify_chain(log, "chain", "ts").collect()] == [(2, 0)]
+
+
+def test_quarantine_is_counted(spark, tmp_path):
+    _drop(tmp_path / "in", "1.json", _lines(("ph", 0, 7.5, "alarm")) + "{cut\n" + '{"param": "ph"}\n'
+          + '{"ts": "2024-01-01T00:00:00"}\n')
+    raw = telemetry.json_file_stream(spark, str(tmp_path / "in"))
+    breaches.start_quarantine(raw, str(tmp_path / "bad"), str(tmp_path / "check"), trigger=ONCE).awaitTermination(120)
+    assert {tuple(r) for r in breaches.quarantined(spark, str(tmp_path / "bad")).collect()} == {
+        ("unreadable", 1), ("no time", 1), ("no parameter", 1)}
+
+
+def test_state_is_read_once_however_many_models(spark, dim, tmp_path):
+    rows = spark.createDataFrame([(float(i % 7), 0.1, 0.2, float(i % 2)) for i in range(40)],
+                                 "v_avg double, v_std double, v_delta double, label double")
+    columns = VectorAssembler(inputCols=models.SERVING, outputCol="_x", handleInvalid="keep")
+    model = Pipeline(stages=[columns, LogisticRegression(featuresCol="_x")]).fit(rows)
+    fitted = dict.fromkeys(("temp", "ph", "press", "cond", "hum"), model)
+    readings = [(p, s, 37.0, "control") for p in fitted for s in range(0, 240, 10)]
+    _drop(tmp_path / "in", "1.json", _lines(*readings))
+    query = _run(spark, dim, tmp_path, fitted=fitted)
+    updated = [op["numRowsUpdated"] for p in query.recentProgress for op in p["stateOperators"]]
+    assert sum(updated) == 5 * 24
+    assert spark.read.parquet(str(tmp_path / "out" / "features")).count() >= 5 * 22
+
+
+def test_the_view_stays_small(spark, tmp_path):
+    folder = str(tmp_path / "view")
+    view = breaches.live_view(folder, 3)
+    for n in range(6):
+        view(spark.createDataFrame([("temp", START + dt.timedelta(seconds=n), float(n))],
+                                   "param string, ts timestamp, value double"), n)
+    assert tables.generations(spark, folder) == [4, 5]
+    assert sorted(r["value"] for r in breaches.read_live_view(spark, folder).collect()) == [3.0, 4.0, 5.0]
