@@ -9,16 +9,16 @@ from pyspark.ml.classification import (
     RandomForestClassifier)
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from procwatch import fixed_values as fv
 from procwatch.functions import bands
-from procwatch.operators import features, metrics
+from procwatch.operators import features, metrics, ordering
 from procwatch.session import materialize
 
 SERVING = ["v_avg", "v_std", "v_delta"]
 FOURIER_FEATURES = 96
-ROWS_PER_TASK = 100_000
+FIT_PARTS = 8  # partitions of the rows of a fit; bagging is seeded per partition, so fits depend on it
 KINDS = {p["id"]: p["model"] for p in fv.PARAMETERS}
 
 
@@ -106,10 +106,12 @@ class Fitted:
     importance: dict
 
 
-def fit_parameter(training: DataFrame, param: str, key: list[str]) -> Fitted | None:
+def fit_parameter(training: DataFrame, param: str, key: list[str], parts: int = FIT_PARTS
+                  ) -> Fitted | None:
     """Split, fit, evaluate and explain one parameter; None when there is but one class.
 
-    `training` is best a written table: it is read a few times.
+    `training` is best a written table: it is read a few times. The rows of a fit lie in
+    `parts` partitions by the hash of their key, however many they are; raise it with the data.
     """
     rows = training.where(F.col("param") == param).select("param", *key, *SERVING, "label")
     rows = materialize(features.stratified_split(rows, key, ["param", "label"]), "split")
@@ -120,9 +122,8 @@ def fit_parameter(training: DataFrame, param: str, key: list[str]) -> Fitted | N
     if shape["classes"] < 2:
         return None
     kind = KINDS[param]
-    # an iteration runs one task per partition, so few rows should be few partitions
-    train = rows.where("split = 'train'").select(*SERVING, F.col("label").cast("double").alias(
-        "label")).coalesce(max(1, shape["n_train"] // ROWS_PER_TASK))
+    train = rows.where("split = 'train'").repartition(parts, *key).sortWithinPartitions(*key).select(
+        *SERVING, F.col("label").cast("double").alias("label"))
     model = fit(train, kind)
     test = materialize(score(model, rows.where("split = 'test'")), "predictions")
     measured = {**metrics.classification_metrics(test, "label", "p", ["param"]).first().asDict(),
@@ -144,31 +145,29 @@ def importance(model: PipelineModel, test: DataFrame, key: list[str]) -> dict:
     return {c: round(raw[c] / total, 4) for c in SERVING}
 
 
-def permutation_importance(model: PipelineModel, test: DataFrame, key: list[str], rows: int = 400,
+def permutation_importance(model: PipelineModel, test: DataFrame, key: list[str],
                            repeats: int = 4) -> DataFrame:
     """(feature, importance): how often shuffling a column changes the model's answer.
 
-    On the first `rows` test rows by key, `repeats` shuffles per column. A shuffle
-    pairs each row with the row at the same place in a hash order, so it is the same
-    every time. All windows here hold `rows` rows.
+    All rows of `test`, `repeats` shuffles per column. A shuffle pairs each row with the row
+    at the same place in a hash order, so it is the same every time. Rows are numbered in
+    blocks, so neither a column nor a shuffle has to fit into a task.
     """
-    first = test.orderBy(*key).limit(rows).select(*key, *SERVING)
+    rows = test.select(*key, *SERVING)
+    said = score(model, rows, "_p0").select(*key, (F.col("_p0") >= 0.5).alias("_before"))
     runs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("run"))
                                for c in SERVING for i in range(repeats)])).alias("_run")
-    copies = first.select("*", runs).select(*key, *SERVING, "_run.feature", "_run.run")
-    run = Window.partitionBy("feature", "run")
-    mixed = F.xxhash64(F.lit(fv.SEED), "feature", "run", *key)
-    placed = copies.withColumns({
-        "_at": F.row_number().over(run.orderBy(*key)),
-        "_to": F.row_number().over(run.orderBy(mixed, *key))})
+    copies = rows.select("*", runs).select(*key, *SERVING, "_run.feature", "_run.run").withColumn(
+        "_mixed", F.xxhash64(F.lit(fv.SEED), "feature", "run", *key))
+    plain = ordering.number_rows(copies, ["feature", "run"], key)
+    shuffled = ordering.number_rows(copies, ["feature", "run"], ["_mixed", *key])
     source = F.create_map(*[x for c in SERVING for x in (F.lit(c), F.col(c))])
-    given = placed.select("feature", "run", F.col("_to").alias("_at"),
-                          F.element_at(source, F.col("feature")).alias("_value"))
-    shuffled = placed.join(given, ["feature", "run", "_at"]).select(
+    given = shuffled.select("feature", "run", "_idx",
+                            F.element_at(source, F.col("feature")).alias("_value"))
+    exchanged = plain.join(given, ["feature", "run", "_idx"]).select(
         *key, "feature", "run", *[F.when(F.col("feature") == c, F.col("_value"))
                                   .otherwise(F.col(c)).alias(c) for c in SERVING])
-    said = score(model, first, "_p0").select(*key, (F.col("_p0") >= 0.5).alias("_before"))
-    after = score(model, shuffled, "_p1").withColumn("_after", F.col("_p1") >= 0.5)
+    after = score(model, exchanged, "_p1").withColumn("_after", F.col("_p1") >= 0.5)
     changed = after.join(said, key).groupBy("feature", "run").agg(
         F.avg((F.col("_after") != F.col("_before")).cast("int")).alias("drop"))
     return changed.groupBy("feature").agg(F.avg("drop").alias("importance"))
@@ -196,7 +195,8 @@ def metrics_table(spark, fitted: dict[str, Fitted]) -> DataFrame:
 def model_probability(df: DataFrame, models: dict[str, PipelineModel], name: str) -> DataFrame:
     """Add `name`, the probability by the model of the row's parameter; null without a model.
 
-    Missing inputs count as 0 for the model; the rows keep them as they are.
+    Missing inputs count as 0 for the model; the rows keep them as they are. `df` is read once
+    for each model: give it rows that are written.
     """
     known = F.coalesce(F.col("param").isin(list(models)), F.lit(False))
     out = df.where(~known).withColumn(name, F.lit(None).cast("double"))
