@@ -81,6 +81,13 @@ HORIZON_ROWS = 15
 TEST_SHARE = 0.25
 SEED = 42
 
+# The learners of the models.
+BOOSTING = {"maxIter": 220, "maxDepth": 4, "stepSize": 0.08, "subsamplingRate": 0.9}
+FOREST = {"numTrees": 300, "maxDepth": 10, "minInstancesPerNode": 5}
+NETWORK_LAYERS = [64, 32]
+NETWORK = {"maxIter": 600, "tol": 1e-4}
+KERNEL_COST = 2.0
+
 # Chunking, vectors and ranking.
 CHUNK_WORDS = 220
 CHUNK_OVERLAP = 40

@@ -18,7 +18,7 @@ from procwatch.session import materialize
 
 SERVING = ["v_avg", "v_std", "v_delta"]
 FOURIER_FEATURES = 96
-FIT_PARTS = 8  # partitions of the rows of a fit; bagging is seeded per partition, so fits depend on it
+FIT_PARTS = 2  # partitions of the rows of a fit; bagging is seeded per partition, so fits depend on it
 KINDS = {p["id"]: p["model"] for p in fv.PARAMETERS}
 
 
@@ -53,7 +53,7 @@ def _fourier(train: DataFrame, gamma: float, n: int) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {', '.join(terms)} FROM __THIS__")
 
 
-def _svm(train: DataFrame, c: float = 2.0) -> PipelineModel:
+def _svm(train: DataFrame, c: float = fv.KERNEL_COST) -> PipelineModel:
     weighted = balanced_weights(train)
     fourier = _fourier(train, 1.0 / len(SERVING), FOURIER_FEATURES)
     margin = Pipeline(stages=[
@@ -72,16 +72,14 @@ def fit(train: DataFrame, kind: str) -> PipelineModel:
         return _svm(train)
     if kind == "gbm":
         # subsample 0.9 of rows; three columns, so all are looked at in each split
-        model = GBTClassifier(featuresCol="_x", maxIter=220, maxDepth=4, stepSize=0.08,
-                              subsamplingRate=0.9, seed=fv.SEED)
+        model = GBTClassifier(featuresCol="_x", seed=fv.SEED, **fv.BOOSTING)
         return Pipeline(stages=[_assembler(SERVING, "_x"), model]).fit(train)
     if kind == "random_forest":
-        model = RandomForestClassifier(featuresCol="_x", numTrees=300, maxDepth=10,
-                                       minInstancesPerNode=5, weightCol="weight", seed=fv.SEED)
+        model = RandomForestClassifier(featuresCol="_x", weightCol="weight", seed=fv.SEED, **fv.FOREST)
         return Pipeline(stages=[_assembler(SERVING, "_x"), model]).fit(balanced_weights(train))
     if kind == "ann":
         model = MultilayerPerceptronClassifier(
-            featuresCol="_x", layers=[len(SERVING), 64, 32, 2], maxIter=600, tol=1e-4, seed=fv.SEED)
+            featuresCol="_x", layers=[len(SERVING), *fv.NETWORK_LAYERS, 2], seed=fv.SEED, **fv.NETWORK)
         return Pipeline(stages=[
             _assembler(SERVING, "_raw"),
             StandardScaler(inputCol="_raw", outputCol="_x", withMean=True), model]).fit(train)

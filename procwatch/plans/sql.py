@@ -1,5 +1,7 @@
 """Common table expressions shared by the checking SQL."""
 
+# The bands, wordings and weights below repeat those of the operators, so that the
+# SQL is a check of its own.
 BANDS = """
 b AS (SELECT et, param, asset, unit, driver, pname, CAST(cl AS DOUBLE) cl, CAST(ch AS DOUBLE) ch,
              CAST(al AS DOUBLE) al, CAST(ah AS DOUBLE) ah, CAST(tl AS DOUBLE) tl, CAST(th AS DOUBLE) th

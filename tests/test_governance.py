@@ -10,6 +10,7 @@ from procwatch.functions import policy
 from procwatch.session import materialize
 from procwatch.operators import audit, governance
 
+# Cases of the policy that must come out as they do here.
 CASES = [
     ("ph", "alarm", 0.40, ["agent.execute.ph"], "REQUIRE_ESIGN"),
     ("temp", "alarm", 0.50, ["agent.execute.temp"], "ALLOW"),
