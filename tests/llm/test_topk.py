@@ -39,7 +39,7 @@ def test_against_plain_integers(spark, monkeypatch):
 def test_odd_rows(spark):
     rng = random.Random(4)
     rows = [(i, [rng.choice([-1.0, 0.0, 0.5]) for _ in range(5)]) for i in range(60)]  # many ties
-    rows += [(0, rows[0][1]), (5, rows[7][1]), (None, [1.0] * 5), (100, None), (105, [1.0, None, 0, 0, 0]),
+    rows += [(0, rows[0][1]), (5, rows[7][1]), (None, [1.0] * 5), (100, None), (105, [1.0, None, 0.0, 0.0, 0.0]),
              (110, [math.nan] * 5), (115, [math.inf] * 5), (120, []), (125, []), (130, [1.0] * 3), (135, [2.0] * 3),
              (140, [1e9] * 5), (145, [-1e9] * 5)]
     assert found(spark, rows) == by_hand(rows, 5, 20)
