@@ -207,6 +207,16 @@ def _of_all(spark, sf_dir, build):
         build(_dataset(spark, sf_dir, p), p).withColumn("param", F.lit(p)) for p in DATASETS])
 
 
+def identify_param(spark, sf_dir):
+    """The parameter of each data set: by its value column, and by its rows where that is missing."""
+    found = []
+    for p, (value, _, _) in DATASETS.items():
+        df = _dataset(spark, sf_dir, p)
+        rows = df.drop(*[v for v, _, _ in DATASETS.values()]).withColumn("param", F.lit(p))
+        found.append((p, profile.identify_param(df.drop(DATASETS[p][2])), profile.identify_param(rows), df.count()))
+    return spark.createDataFrame(found, "param string, by_column string, by_rows string, rows long")
+
+
 def dataset_profile(spark, sf_dir):
     return _of_all(spark, sf_dir, profile.dataset_profile)
 
@@ -263,7 +273,7 @@ def dataset_catalog(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     json_tolerant_parse, iso_timestamp_parse, features_long, event_from_json, event_defaults,
     breach_json_sink, csv_records, json_records, jsonl_records, text_corpus_scan, historian_scan,
-    vector_upsert, upsert_sink, dataset_profile, infer_types, dataset_preview, adapt_columns,
+    vector_upsert, upsert_sink, identify_param, dataset_profile, infer_types, dataset_preview, adapt_columns,
     dataset_promote, dataset_catalog)}
 
 # What the catalog says of the columns.
@@ -349,6 +359,8 @@ ORACLES = {
                CAST(len(embedding) AS INT) AS n FROM embeddings""",
     "upsert_sink": sql.with_events(
         "SELECT event_id, param, CASE param WHEN 'ph' THEN 0.5::DOUBLE WHEN 'hum' THEN 0.25::DOUBLE ELSE p_breach END AS p_breach FROM ev"),
+    "identify_param": sql.with_telemetry("""
+        SELECT param, param AS by_column, param AS by_rows, count(*) AS rows FROM telem GROUP BY param"""),
     "dataset_profile": sql.with_telemetry(_DS + """
         , c AS (SELECT param, count(*) AS n, count(k) AS nk, count(*) FILTER (zone <> 'control') AS nz
                 FROM ds GROUP BY param) """ + _profile_sql()),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from procwatch.functions import bands
-from procwatch.operators import breach, features, latest, metrics
+from procwatch.operators import breach, features, latest, metrics, ordering
 from procwatch.plans import inputs, sql
 from procwatch.plans.signals import CHECK_WINDOW, NUDGE
 from procwatch.session import materialize
@@ -26,6 +26,12 @@ def _training(spark, sf_dir):
                                  features=["k"], segment_rows=SEGMENT)
 
 
+def row_numbers(spark, sf_dir):
+    """The place of each reading in the order of its parameter."""
+    numbered = ordering.number_rows(_history(spark, sf_dir).select("param", *ORDER), ["param"], ORDER)
+    return numbered.select("param", "event_id", F.col("_idx").alias("place"))
+
+
 def rolling_features(spark, sf_dir):
     df = features.rolling_features(_history(spark, sf_dir), ORDER, features=["k"],
                                    segment_rows=SEGMENT)
@@ -113,7 +119,7 @@ def upsert_latest_by_key(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    rolling_features, forward_label, training_set, windowed_training_set, label_classes,
+    row_numbers, rolling_features, forward_label, training_set, windowed_training_set, label_classes,
     label_positive_rate, stratified_split, classification_metrics, roc_auc, importance_shares,
     latest_n_per_param, latest_n_overall, upsert_latest_by_key)}
 
@@ -137,6 +143,8 @@ pred AS (SELECT param, label, round(greatest(0::DOUBLE, least(1::DOUBLE,
 _R = "round({0} + 1e-9::DOUBLE, 6) AS {0}"
 _ROLL = ", ".join(_R.format(c) for c in ("v_avg", "v_std", "v_delta"))
 ORACLES = {
+    "row_numbers": sql.with_telemetry("""
+        SELECT param, event_id, row_number() OVER (PARTITION BY param ORDER BY ts, event_id) - 1 AS place FROM telem"""),
     "rolling_features": sql.with_telemetry(
         _TRAIN + f"SELECT param, event_id, {_ROLL}, {_R.format('k_mean')} FROM train"),
     "forward_label": sql.with_telemetry(_TRAIN + "SELECT param, event_id, label FROM lab"),

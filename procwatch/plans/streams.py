@@ -1,8 +1,9 @@
 """Registered queries that run a stream over files written from a given table, to its end."""
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from procwatch.functions import bands
 from procwatch.operators import audit
@@ -64,7 +65,38 @@ def live_view(spark, sf_dir):
     return view.select("param", F.unix_millis("ts").alias("ts_ms"), F.round(F.col("value") + F.lit(NUDGE), 6).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (stream_breach, stream_audit, stream_quarantine, live_view)}
+def keyed_records(spark, sf_dir):
+    """Readings as keyed records for a topic, read back: one key stays one parameter."""
+    folder = f"{session_dir(spark)}/records-{uuid.uuid4().hex}"
+    readings = inputs.telemetry(spark, sf_dir).select("param", "batch_id", "event_id")
+    telemetry.to_keyed_json(readings).write.json(folder)
+    back = spark.read.schema("key string, value string").json(folder)
+    parsed = telemetry.parse_json(back, "value", readings.schema)
+    return parsed.select("key", "param", "batch_id", "event_id")
+
+
+def two_topics(spark, sf_dir):
+    """Readings and breach events as records of two topics, consumed by one stream: what is kept of each."""
+    folder = f"{session_dir(spark)}/topics-{uuid.uuid4().hex}"
+    events = signals.events(spark, sf_dir).select(F.to_json(F.struct("event_id", "param", "v_avg")).alias("value"))
+    spark.read.text(f"{_sent(spark, sf_dir)}/in").write.text(f"{folder}/in/topic=scada.telemetry")
+    events.write.text(f"{folder}/in/topic=pdm.breaches")
+    raw = spark.readStream.schema("value string, topic string").format("text").load(f"{folder}/in")
+    (raw.writeStream.foreachBatch(breaches.consume(f"{folder}/out", bands.dimension(spark)))
+     .option("checkpointLocation", f"{folder}/check").trigger(**TO_THE_END).start().awaitTermination())
+    view = breaches.read_live_view(spark, f"{folder}/out/live")
+    kept = spark.read.parquet(f"{folder}/out/events")
+    bad = spark.read.parquet(f"{folder}/out/quarantine")
+    log = spark.read.parquet(f"{folder}/out/audit")
+    broken = audit.verify_chain(log, "chain", "ts").where("n_broken > 0")
+    counts = [view.groupBy("param").agg(F.count(F.lit(1)).alias("n")).withColumn("of", F.lit("view")),
+              kept.groupBy("param").agg(F.count(F.lit(1)).alias("n")).withColumn("of", F.lit("events")),
+              bad.groupBy(F.col("of").alias("param")).agg(F.count(F.lit(1)).alias("n")).withColumn("of", F.lit("quarantine")),
+              broken.agg(F.lit("all").alias("param"), F.count(F.lit(1)).alias("n")).withColumn("of", F.lit("broken"))]
+    return reduce(DataFrame.unionByName, counts)
+
+
+QUERIES = {f.__name__: f for f in (keyed_records, two_topics, stream_breach, stream_audit, stream_quarantine, live_view)}
 
 # The events of the windows that the newest reading closes, from the records that are whole.
 _WHOLE = sql.EVENTS.replace("FROM telem GROUP BY", "FROM telem WHERE event_id % 13 <> 0 GROUP BY")
@@ -72,6 +104,13 @@ _CLOSED = _WHOLE + """,
 closed AS (SELECT * FROM ev WHERE epoch_ms(w) + 3600000 <=
            (SELECT max(epoch_us(ts) // 1000) - 5000 FROM telem WHERE event_id % 13 <> 0))"""
 ORACLES = {
+    "keyed_records": sql.with_telemetry("""
+        SELECT param AS key, param, CAST(user_id AS VARCHAR) AS batch_id, event_id FROM telem"""),
+    "two_topics": sql.with_events("""
+        SELECT 'view' AS of, param, least(240, count(*)) AS n FROM telem WHERE event_id % 13 <> 0 GROUP BY param
+        UNION ALL SELECT 'events', param, count(*) FROM ev GROUP BY param
+        UNION ALL SELECT 'quarantine', 'telemetry', count(*) FROM events WHERE event_id % 13 = 0
+        UNION ALL SELECT 'broken', 'all', 0"""),
     "stream_breach": sql.with_ctes(_CLOSED, """
         SELECT event_id, param, n_rows, zone, round(v_avg + 1e-9::DOUBLE, 3) AS v_avg FROM closed"""),
     "stream_audit": sql.with_ctes(
