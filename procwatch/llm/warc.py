@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from procwatch.session import materialize, session_dir
 
@@ -29,17 +29,26 @@ DICTIONARY_FRAME = 0x184D2A5D
 ROW_END = struct.pack("<II", SKIPPABLE, 0).decode("ascii")
 MIN_REVISIT_BYTES = 100
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 8192, 64 * 1024
+_DEAL = 64  # parts in which the sample is first looked for
 LEVEL = 3
 _ID = "urn:x-page:"
 _RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def train_dictionary(payloads: DataFrame, key: str, text: str) -> bytes:
-    """A dictionary from the payloads whose ids have the smallest hashes; empty if too few help."""
-    sample = (payloads.where(F.length(text) > 0)
-              .select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t"),
-                      F.xxhash64(F.col(key)).alias("h"))
-              .orderBy("h").limit(SAMPLE_ROWS).collect())
+    """A dictionary from the payloads whose ids have the smallest hashes; empty if too few help.
+
+    The hashes are found without payloads, in parts first; the driver holds the sample alone.
+    """
+    rows = payloads.where(F.length(text) > 0).select(F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("t"))
+    in_part = Window.partitionBy(F.pmod("h", F.lit(_DEAL))).orderBy("h")
+    few = rows.select("h").withColumn("n", F.row_number().over(in_part)).where(F.col("n") <= SAMPLE_ROWS)
+    cut = few.orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    if cut is None:
+        return b""
+    sample = (rows.where(F.col("h") <= cut).groupBy("h")
+              .agg(F.min(F.substring("t", 1, SAMPLE_CHARS)).alias("t"))
+              .orderBy("h").collect())  # a repeated id counts once
     texts = [row["t"].encode() for row in sample]
     if sum(map(len, texts)) < 20 * 1024 or len(texts) < 8:
         return b""
