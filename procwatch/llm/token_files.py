@@ -40,7 +40,7 @@ GROUP = 256
 BLOCK_IDS = 1 << 18
 STEP_IDS = 1 << 20  # ids encoded at once, a multiple of GROUP
 BATCH_ROWS = 500
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 1_000_000
 _NULL = -(1 << 63)
 #: ids per word and their bits, by selector; most ids first.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0, 1], np.int64)
@@ -173,9 +173,10 @@ def read_blocks(content: memoryview) -> Iterator[tuple[np.ndarray, np.ndarray, n
 
 
 # White space other than blanks and line ends.
-_RARE_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_RARE_SPACES = ("\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+                + "\u2028\u2029\u202f\u205f\u3000")
 # Points and commas after anything but a common letter or digit.
-_OTHER_BEFORE_POINT = re.compile("(?:^|[^0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f])[.,]")
+_OTHER_BEFORE_POINT = re.compile("[.,](?<![0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f][.,])")
 
 
 class Encoder:
@@ -230,7 +231,7 @@ class Encoder:
         if not text:
             return []
         if not ("  " in text or "\n " in text or " \n" in text or "\0" in text or text[0].isspace()
-                or text[-1].isspace() or _RARE_SPACE.search(text)):
+                or text[-1].isspace() or any(c in text for c in _RARE_SPACES)):
             text = text.replace(" ", "\0 ")
             if not _OTHER_BEFORE_POINT.search(text):
                 text = text.replace(".", "\0.").replace(",", "\0,")
@@ -249,15 +250,12 @@ class Encoder:
         """Ids of all texts one after the other, and how many each has."""
         cut = [self.pieces(t) for t in texts]
         every = [p for pieces in cut for p in pieces]
-        place = self.place
-        new = set(every).difference(place)
-        full = len(place) >= MEMO_ENTRIES
-        added = self._add(new) if new else {}
-        if full and added:  # these are not remembered
-            find = (added[p] if p in added else place[p] for p in every)
-        else:
-            find = map(place.__getitem__, every)
-        order = np.fromiter(find, np.int64, len(every))
+        place = np.array(list(map(self.place.get, every)), np.float64)  # not a number if new
+        unknown = np.flatnonzero(np.isnan(place)).tolist()
+        if unknown:
+            added = self._add({every[i] for i in unknown})
+            place[unknown] = [added[every[i]] for i in unknown]
+        order = place.astype(np.int64)
         counts = self.counts[order]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
