@@ -12,6 +12,7 @@ Documents are read once for each block of items of BLOCK_CHARS characters; a tas
 one block's automaton. Documents never meet each other, so no key is hot.
 """
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 ERROR_RATE = 0.05
 MIN_WORDS = 5
+MIN_WIDTH = 20   # of items of fewer words: scripts without blanks have few words at any length
 BLOCK_CHARS = 4_000_000
 
 
@@ -36,6 +38,11 @@ def normal(text: str | None) -> str:
     return b" ".join((text or "").lower().encode().translate(_WORDS_ONLY).split()).decode("latin-1")
 
 
+def width(text: str | None) -> int:
+    """Letters and digits of a text; ideographs and other wide characters count two."""
+    return sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text or "" if c.isalnum())
+
+
 @dataclass
 class Item:
     """A test item, its error budget, its pieces and where they begin."""
@@ -48,9 +55,9 @@ class Item:
 
 def make_item(item_id: int | None, text: str | None, error_rate: float = ERROR_RATE,
               min_words: int = MIN_WORDS) -> Item | None:
-    """None for an item of too few words, which would stand in many documents by chance."""
+    """None for an item that is too short in words and in width: many documents would have it by chance."""
     words = normal(text)
-    if words.count(" ") + 1 < max(1, min_words) or not words:
+    if not words or words.count(" ") + 1 < min_words and width(text) < MIN_WIDTH:
         return None
     budget = int(len(words) * error_rate)
     cuts = [len(words) * i // (budget + 1) for i in range(budget + 2)]
@@ -163,8 +170,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, budget, first_word, last_word: the nearest passage of each leak.
 
-    Null and empty texts, on either side, and items of fewer than `min_words` words match
-    nothing. Repeated documents are reported one by one; of repeated items with one id each
+    Null and empty texts, on either side, and items of fewer than `min_words` words and a width
+    of less than `MIN_WIDTH` match nothing. Repeated documents are reported one by one; of repeated items with one id each
     text that leaks is reported. Null ids are reported as null. Words are runs of letters and
     digits, counted from 0. Other columns are not read. No documents or items give no rows.
     """

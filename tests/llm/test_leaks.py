@@ -91,3 +91,18 @@ def test_long_text_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "word " * 100_000 + item + " word" * 1000)] * 3, "doc_id long, text string")
     got = leaks.find_leaks(docs, spark.createDataFrame([(9, item)] * 2, "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"], r["first_word"], r["last_word"]) for r in got] == [(1, 9, 100_000, 100_009)] * 3
+
+
+def test_items_without_blanks(spark):
+    items = [(1, "\u4e2d\u534e\u4eba\u6c11\u5171\u548c\u56fd\u7684\u9996\u90fd\u662f\u54ea\u4e00\u5ea7\u57ce\u5e02"),
+             (2, "\u65e5\u672c\u3067\u4e00\u756a\u9ad8\u3044\u5c71\u306e\u540d\u524d\u3092\u7b54\u3048\u306a\u3055\u3044" * 4),
+             (3, "\u0e1b\u0e23\u0e30\u0e40\u0e17\u0e28\u0e44\u0e17\u0e22\u0e21\u0e35\u0e01\u0e35\u0e48\u0e08\u0e31\u0e07\u0e2b\u0e27\u0e31\u0e14\u0e43\u0e19\u0e1b\u0e31\u0e08\u0e08\u0e38\u0e1a\u0e31\u0e19"),
+             (4, "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"), (5, "\u4e2d\u56fd"), (6, "word"), (7, "\u0443\u043d\u0438\u0432\u0435\u0440\u0441\u0438\u0442\u0435\u0442")]
+    changed = items[1][1][:30] + "\u8c37" + items[1][1][31:]
+    docs = [(i, "\u524d" * 30 + text + "\u5f8c" * 30) for i, text in items]
+    docs += [(8, "before " + changed + " after"), (9, "\u4e2d\u534e\u4eba\u6c11 word"), (10, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in leaks.find_leaks(d, b).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (8, 2)}
+    assert all((r["distance"] == 0) == (doc != 8) for (doc, _), r in got.items())
+    assert {r["doc_id"] for r in leaks.without_leaks(d, b).collect()} == {5, 6, 7, 9, 10}
