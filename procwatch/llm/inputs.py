@@ -19,3 +19,11 @@ def kept_in_worker(key: Hashable, make: Callable):
     if key not in kept.values:
         kept.values[key] = make()
     return kept.values[key]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -1,6 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
 from procwatch.llm import (
+    exact_dedup_query,
     language_query,
     leaks_query,
     licenses_query,
@@ -14,7 +15,8 @@ from procwatch.llm import (
 )
 
 _MODULES = (neardup_query, topk_query, licenses_query, passages_query, warc_query,
-            url_rules_query, leaks_query, token_files_query, language_query, mixing_query)
+            url_rules_query, leaks_query, token_files_query, language_query, mixing_query,
+            exact_dedup_query)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: text for module in _MODULES for name, text in module.ORACLES.items()}
