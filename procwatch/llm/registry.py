@@ -9,6 +9,7 @@ from procwatch.llm import (
     mixing_query,
     neardup_query,
     passages_query,
+    prefix_trie_query,
     token_files_query,
     topk_query,
     url_rules_query,
@@ -17,7 +18,7 @@ from procwatch.llm import (
 
 _MODULES = (neardup_query, topk_query, licenses_query, passages_query, warc_query,
             url_rules_query, leaks_query, token_files_query, language_query, mixing_query,
-            exact_dedup_query, lexical_query)
+            exact_dedup_query, lexical_query, prefix_trie_query)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: text for module in _MODULES for name, text in module.ORACLES.items()}
