@@ -45,6 +45,22 @@ def repeated_bits(texts: DataFrame, text: str, n_buckets: int) -> DataFrame:
     return twice.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
 
 
+def set_bits(values: DataFrame, column: str, n_buckets: int) -> DataFrame:
+    """(bucket, bits): a filter of all values of a column."""
+    bucket, one, other = _probes(F.col(column), n_buckets)
+    return (values.select(bucket.alias("bucket"), F.explode(F.array(one, other)).alias("place"))
+            .groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits")))
+
+
+def maybe_in(rows: DataFrame, column: str, bits: DataFrame, n_buckets: int) -> DataFrame:
+    """The rows whose value may be in a filter: all that are, and few others. Nothing is shuffled."""
+    bucket, held = free_name(rows, "_bloom_bucket"), free_name(rows, "_bloom_bits")
+    at, one, other = _probes(F.col(column), n_buckets)
+    filter_ = bits.select(F.col("bucket").alias(bucket), F.col("bits").alias(held))
+    return (rows.withColumn(bucket, at).join(F.broadcast(filter_), bucket)  # at most 64 MB
+            .where(_is_set(F.col(held), one) & _is_set(F.col(held), other)).select(*rows.columns))
+
+
 def _is_set(bits: Column, place: Column) -> Column:
     byte = F.conv(F.hex(F.substring(bits, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]),
@@ -78,8 +94,9 @@ def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shuffled = materialize(tested.where(maybe).select(
         *columns, F.col(doc_id).alias(id_), F.monotonically_increasing_id().alias(row),
         digest.alias("text_sha256")), "maybe-repeated")
-    groups = shuffled.groupBy("text_sha256").agg(
-        F.max(F.struct(id_, row)).alias(best), F.count(F.lit(1)).alias("group_size"))
+    # written, so that Spark can split the rows of a text that is everywhere when it joins
+    groups = materialize(shuffled.groupBy("text_sha256").agg(
+        F.max(F.struct(id_, row)).alias(best), F.count(F.lit(1)).alias("group_size")), "copy-groups")
     grouped = shuffled.join(groups, "text_sha256").select(
         *columns, F.col(best)[id_].alias("keep_id"), "group_size",
         (F.col(row) == F.col(best)[row]).alias("kept"), "text_sha256")
