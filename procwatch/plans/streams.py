@@ -1,5 +1,6 @@
 """Registered queries that run a stream over files written from a given table, to its end."""
 
+import time
 import uuid
 from functools import reduce
 
@@ -7,11 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from procwatch.functions import bands
 from procwatch.operators import audit
-from procwatch.plans import inputs, signals, sql
+from procwatch.plans import inputs, learning, signals, sql
 from procwatch.plans.signals import CHECK_WINDOW, NUDGE
-from procwatch.session import session_dir
+from procwatch.session import file_system, session_dir
 from procwatch.sources import tables, telemetry
-from procwatch.streaming import breaches
+from procwatch.streaming import breaches, keyed
 
 TO_THE_END = {"availableNow": True}
 
@@ -96,7 +97,63 @@ def two_topics(spark, sf_dir):
     return reduce(DataFrame.unionByName, counts)
 
 
-QUERIES = {f.__name__: f for f in (keyed_records, two_topics, stream_breach, stream_audit, stream_quarantine, live_view)}
+def _in_parts(spark, rows, at, n_parts=5):
+    """`rows` as files of JSON lines that arrive in order of their column `at`; its folder and fields."""
+    folder = f"{session_dir(spark)}/arriving-{uuid.uuid4().hex}"
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    part = F.least(F.floor((F.col(at) - first) * n_parts / max(last - first, 1)), F.lit(n_parts - 1))
+    for i in range(n_parts):  # one after the other, as files are read in order of their time
+        rows.where(part == i).drop(at).write.mode("append").json(f"{folder}/in")
+    return folder, rows.drop(at).schema
+
+
+def _closed(spark, folder):
+    """Readings in the windows stored so far."""
+    files, path = file_system(spark, f"{folder}/out/windows")
+    if not files.exists(path) or not files.globStatus(path.suffix("/*/_SUCCESS")):
+        return 0
+    return spark.read.parquet(f"{folder}/out/windows").agg(F.sum("n_rows")).first()[0] or 0
+
+
+def stream_idle(spark, sf_dir):
+    """Windows of parameters one of which lags a day behind the others, which fall silent meanwhile.
+
+    None of its readings is late, and the silent ones do not hold their last windows open.
+    """
+    readings = inputs.telemetry(spark, sf_dir).select("param", "ts", "value", "asset", "batch_id", "zone")
+    lag = F.when(F.col("param") == "hum", 86_400_000_000).otherwise(0)
+    folder, schema = _in_parts(spark, readings.withColumn("at", F.unix_micros("ts") + lag), "at")
+    n_rows = readings.where("ts IS NOT NULL").count()
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).json(f"{folder}/in")
+    query = keyed.start(arriving, bands.dimension(spark), f"{folder}/out", f"{folder}/check", size=CHECK_WINDOW,
+                        trigger={"processingTime": "1 second"})
+    try:
+        until = time.monotonic() + 300
+        while _closed(spark, folder) < n_rows:  # timers close what is still open
+            if not query.isActive or time.monotonic() > until:
+                raise RuntimeError(f"the stream ended early: {query.exception()}")
+            time.sleep(1)
+    finally:
+        query.stop()
+    windows = spark.read.parquet(f"{folder}/out/windows")
+    return windows.select("param", F.unix_timestamp("window_start").alias("window_start"), "n_rows", "zone", "zone_worst",
+                          *[F.round(F.col(c) + F.lit(NUDGE), 4).alias(c) for c in ("v_avg", "v_std", "v_delta")])
+
+
+def stream_rolling(spark, sf_dir):
+    """Trailing features of each reading, made as readings arrive."""
+    readings = inputs.telemetry_with_features(spark, sf_dir).select(
+        "param", F.unix_micros("ts").alias("ts"), "event_id", "value", F.element_at("features", "k").alias("k"))
+    folder, schema = _in_parts(spark, readings.withColumn("at", F.col("ts")), "at")
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).json(f"{folder}/in")
+    (keyed.online_rolling(arriving, ["ts", "event_id"], features=["k"]).writeStream.outputMode("append")
+     .format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check")
+     .trigger(**TO_THE_END).start().awaitTermination())
+    return spark.read.parquet(f"{folder}/out").select(
+        "param", "event_id", *[F.round(F.col(c) + F.lit(NUDGE), 6).alias(c) for c in ("v_avg", "v_std", "v_delta", "k_mean")])
+
+
+QUERIES = {f.__name__: f for f in (stream_idle, stream_rolling, keyed_records, two_topics, stream_breach, stream_audit, stream_quarantine, live_view)}
 
 # The events of the windows that the newest reading closes, from the records that are whole.
 _WHOLE = sql.EVENTS.replace("FROM telem GROUP BY", "FROM telem WHERE event_id % 13 <> 0 GROUP BY")
@@ -104,6 +161,10 @@ _CLOSED = _WHOLE + """,
 closed AS (SELECT * FROM ev WHERE epoch_ms(w) + 3600000 <=
            (SELECT max(epoch_us(ts) // 1000) - 5000 FROM telem WHERE event_id % 13 <> 0))"""
 ORACLES = {
+    "stream_rolling": learning.ORACLES["rolling_features"],
+    "stream_idle": sql.with_events("""
+        SELECT param, window_start, n_rows, zone, zone_worst, round(v_avg + 1e-9::DOUBLE, 4) AS v_avg,
+               round(v_std + 1e-9::DOUBLE, 4) AS v_std, round(v_delta + 1e-9::DOUBLE, 4) AS v_delta FROM scored"""),
     "keyed_records": sql.with_telemetry("""
         SELECT param AS key, param, CAST(user_id AS VARCHAR) AS batch_id, event_id FROM telem"""),
     "two_topics": sql.with_events("""

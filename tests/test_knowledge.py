@@ -188,6 +188,22 @@ def test_search_equals_brute_force(queries, built, chunk_rows, block):
         assert [g[2] for g in got] == pytest.approx([w[1] for w in want], abs=1e-8)
 
 
+def test_blocks_beyond_the_broadcast(queries, built, monkeypatch):
+    """Slices are dealt out with a copy of all blocks each: no task has more than its share of the index."""
+    want = sorted(search.search(queries, built, mmr=False, block=2).collect())
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(search, "SLICE_DEALS", 16)
+    assert sorted(search.search(queries, built, mmr=False, block=2).collect()) == want
+    blocks, n_blocks = search.query_blocks(queries, built, 2)
+    slices = search._slices(search._scan(built.entries.repartition(40)), 1)
+    n_slices = slices.count()
+    met = search._meet(slices, blocks, n_blocks)
+    assert "SortMergeJoin" in met._jdf.queryExecution().executedPlan().toString()
+    share = met.groupBy(F.pmod(F.xxhash64("slice"), F.lit(16)), F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in share) == n_slices * blocks.count()
+    assert len(share) > 8 and max(r["count"] for r in share) < n_slices * n_blocks / 3
+
+
 def test_small_slices_give_the_same(queries, built, monkeypatch):
     whole = search.search(queries, built, mmr=False).collect()
     monkeypatch.setattr(search, "_SLICE_CELLS", 1)
