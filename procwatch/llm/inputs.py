@@ -27,3 +27,10 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def numbered_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with its columns named by their place, so that no working column has the name of one,
+    and the new name of each."""
+    names = {c: f"_own{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from procwatch.llm.inputs import free_name
 from procwatch.llm.words import IS_WORD, LOWER, row_groups, text_buffer
 
 SAMPLE_PER_LANGUAGE = 500
@@ -195,13 +196,14 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     a letter are rejected. Whole texts count; equal texts get equal results; ties go to the
     language that comes first. No rows give no rows.
     """
-    added = ["lang_pred", "score", "rejected", "_has_letter"]
+    added = ["lang_pred", "score", "rejected"]
+    has_letter = free_name(docs, "_has_letter")
     rows = docs.drop(*added).withColumn(
-        "_has_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    kept = [f for f in rows.schema.fields if f.name != "_has_letter"]
+        has_letter, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    kept = [f for f in rows.schema.fields if f.name != has_letter]
     if model is None:
         return rows.select(*[f.name for f in kept], F.lit(UNKNOWN).alias("lang_pred"),
-                           F.lit(0.0).alias("score"), (~F.col("_has_letter")).alias("rejected"))
+                           F.lit(0.0).alias("score"), (~F.col(has_letter)).alias("rejected"))
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType()),
                            T.StructField("rejected", T.BooleanType())])

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from procwatch.llm.inputs import numbered_columns
 from procwatch.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -140,6 +141,24 @@ def _is_taken(passed: int, budget: Budget) -> Column:
     return taken | ((_time_range(time) == budget.time_range) & up_to)
 
 
+ADDED = ("size", "source_size", "target", "copies", "taken")
+
+
+def _decided(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> tuple[DataFrame, dict[str, str]]:
+    """Rows of `docs` with the added columns, under the names of `numbered_columns`."""
+    own, names = numbered_columns(docs)
+    rows = queued(own, names[doc_id], names[text], names[source], seed)
+    sized = materialize(rows.select("_wfq_src", "_wfq_block", "_wfq_key", "_wfq_size"), "mix-sizes")
+    offsets = materialize(_offsets(sized), "mix-offsets")
+    budget = find_budget(materialize(_with_place(sized, offsets), "mix-places"))
+    copies = sum((F.when(_is_taken(i, budget), 1).otherwise(0) for i in range(MAX_PASSES)), F.lit(0))
+    decided = (_with_place(rows, offsets)
+               .withColumn("copies", F.when(F.col("_wfq_size") > 0, copies).otherwise(0))
+               .select(*names.values(), F.col("_wfq_size").alias("size"), "source_size", "target", "copies",
+                       (F.col("copies") * F.col("_wfq_size")).alias("taken")))
+    return decided, names
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
         seed: int = 7) -> DataFrame:
     """Every document with `size`, `source_size`, `target`, `copies` (0 to 3) and `taken`.
@@ -150,22 +169,18 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     other's place. Columns of the input keep their values, except that the five named here
     replace input columns of the same names. No rows give no rows.
     """
-    added = ["size", "source_size", "target", "copies", "taken"]
-    kept = [c for c in docs.columns if c not in added]
-    rows = queued(docs, doc_id, text, source, seed).drop(*[c for c in added if c in docs.columns])
-    sized = materialize(rows.select("_wfq_src", "_wfq_block", "_wfq_key", "_wfq_size"), "mix-sizes")
-    offsets = materialize(_offsets(sized), "mix-offsets")
-    budget = find_budget(materialize(_with_place(sized, offsets), "mix-places"))
-    copies = sum((F.when(_is_taken(i, budget), 1).otherwise(0) for i in range(MAX_PASSES)), F.lit(0))
-    return (_with_place(rows, offsets)
-            .withColumn("copies", F.when(F.col("_wfq_size") > 0, copies).otherwise(0))
-            .select(*kept, F.col("_wfq_size").alias("size"), "source_size", "target", "copies",
-                    (F.col("copies") * F.col("_wfq_size")).alias("taken")))
+    decided, names = _decided(docs, doc_id, text, source, seed)
+    return decided.select(*[F.col(n).alias(c) for c, n in names.items() if c not in ADDED], *ADDED)
+
 
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+                    seed: int = 7) -> DataFrame:
+    """The mix itself: rows of `docs`, each as many times as it is taken.
 
-def mixed_documents(docs: DataFrame, **names) -> DataFrame:
-    """The mix itself: rows of `docs`, each as many times as it is taken."""
-    decided = mix(docs, **names)
+    All columns keep their values, those named like a column of `mix`, too. Rows without words go;
+    nulls, ties, repeated rows and empty tables as in `mix`.
+    """
+    decided, names = _decided(docs, doc_id, text, source, seed)
     return (decided.where("copies > 0")
             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select(*docs.columns))
+            .select(*[F.col(n).alias(c) for c, n in names.items()]))

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from procwatch.llm.components import components
+from procwatch.llm.inputs import numbered_columns
 from procwatch.llm.words import mixed, row_groups, shingles, text_buffer, word_hashes
 from procwatch.session import materialize
 
@@ -375,13 +376,20 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         similarity: float = SIMILARITY) -> DataFrame:
-    """One row of `docs` of each class, with all its columns; rows without words all stay."""
-    keepers = (classes(docs, doc_id, text, similarity).where("kept")
+    """One row of `docs` of each class, with all its columns; rows without words all stay.
+
+    Null and empty texts have no words. Of a class the row that `classes` keeps stays; of rows that
+    repeat its id and text, one. A null id is an id like any other. Texts count whole, however
+    long. Columns may have any names. No rows give no rows.
+    """
+    own, names = numbered_columns(docs)
+    doc_id, text = names[doc_id], names[text]
+    keepers = (classes(own, doc_id, text, similarity).where("kept")
                .select(F.col("doc_id").alias("_dup_id"), F.col("digest").alias("_dup_digest")).distinct())
-    keyed = docs.withColumn("_dup_own", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
+    keyed = own.withColumn("_dup_own", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("_dup_id")) & (F.col("_dup_own") == F.col("_dup_digest"))
     one = Window.partitionBy("_dup_id", "_dup_digest").orderBy(F.lit(1))
     wordless = ~F.coalesce(F.col(text).rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False))
     return (keyed.join(keepers, same)
             .withColumn("_dup_n", F.row_number().over(one))
-            .where((F.col("_dup_n") == 1) | wordless).select(*docs.columns))
+            .where((F.col("_dup_n") == 1) | wordless).select(*[F.col(n).alias(c) for c, n in names.items()]))
