@@ -3,9 +3,14 @@
 A vector is cut into segments; of each segment the mean and the deviation are kept. For
 segments of length L the squared distance of two vectors is at least the sum of
 L * ((difference of means)**2 + (difference of deviations)**2), so a candidate whose lower
-bound is too far for the query's k-th best score so far is dropped: first with one segment,
-then with 4, then with 16. Exact integer scores are computed for what is left. A score is
-an inner product, (|q|**2 + |x|**2 - distance**2) / 2, so bounds on one bound the other.
+bound is too far for the query's k-th best score so far is dropped, level by level; a level
+looks at what the coarser ones left. Exact integer scores are computed for the survivors. A
+score is an inner product, (|q|**2 + |x|**2 - distance**2) / 2, so bounds on one bound the other.
+
+Segments are cut from rotated vectors, whose axes are in order of their spread, so that few of
+them hold much of a distance: a finer level has more leading axes as segments of their own and
+cuts the rest into more segments. A rotation leaves distances as they are, so any rotation gives
+right bounds; it is fitted to a sample of ROTATION_SAMPLE candidates.
 
 Queries and candidates travel as packed blocks. Every block of queries meets every block
 of candidates in some task; blocks of candidates are dealt over `spread` tasks per block of
@@ -21,7 +26,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from procwatch.session import materialize
 
 SCALE = 64
-LEVELS = (1, 4, 16)
+LEVELS = ((0, 1), (1, 1), (2, 2), (3, 4))  # quarters of the axes that stand alone, segments of the rest
+ROTATION_SAMPLE = 2048    # candidates, those with the smallest hashes
+ROTATION_WIDTH = 1024     # longer vectors keep their axes
+ROTATION_BYTES = 64 << 20  # of all lengths' rotations; further lengths keep their axes
 QUERY_BLOCK, CANDIDATE_BLOCK, STEP = 4096, 2048, 1024
 EXACT = float(1 << 53)
 
@@ -65,57 +73,99 @@ def _packed(vectors: DataFrame, size: int) -> DataFrame:
     return vectors.mapInArrow(pack, "width int, ids binary, matrix binary")
 
 
-def segment_features(matrix: np.ndarray, segments: int) -> np.ndarray:
-    """Means and deviations times the root of the segment length, of all segments."""
-    parts = np.array_split(np.arange(matrix.shape[1]), min(segments, max(1, matrix.shape[1])))
-    columns = []
-    for part in parts:
-        cut = matrix[:, part]
-        root = np.sqrt(len(part))
-        columns += [cut.mean(1) * root, cut.std(1) * root] if len(part) else []
-    return np.stack(columns, 1) if columns else np.zeros((len(matrix), 0))
+def rotations(sample: list) -> dict[int, np.ndarray]:
+    """Per length of vectors the axes of largest spread first, as columns; common lengths first."""
+    of: dict[int, list] = {}
+    for vector in sample:
+        of.setdefault(len(vector), []).append(vector)
+    found, room = {}, ROTATION_BYTES
+    for width, rows in sorted(of.items(), key=lambda x: (-len(x[1]), x[0])):
+        matrix = np.array(rows, float).reshape(len(rows), width)
+        most = np.abs(matrix).max(initial=0.0)
+        room -= 8 * width * width
+        if room < 0 or not 1 < width <= ROTATION_WIDTH or not 0 < most < EXACT:
+            continue
+        spread = (matrix - matrix.mean(0)) / most
+        found[width] = np.linalg.eigh(spread.T @ spread)[1][:, ::-1].copy()
+    return found
+
+
+def level_features(rotated: np.ndarray, level: tuple[int, int]) -> np.ndarray:
+    """Leading axes, then means and deviations times the root of the segment length of the rest."""
+    width = rotated.shape[1]
+    lead = width * level[0] // 4
+    columns = [rotated[:, :lead]]
+    for part in np.array_split(np.arange(lead, width), level[1]):
+        if len(part):
+            cut, root = rotated[:, part], np.sqrt(len(part))
+            columns += [(cut.mean(1) * root)[:, None], (cut.std(1) * root)[:, None]]
+    return np.concatenate(columns, 1)
 
 
 class Best:
     """The k best candidates of each query of a block so far."""
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int) -> None:
-        self.ids, self.matrix, self.k = ids, matrix, k
-        self.features = [segment_features(matrix, s) for s in LEVELS]
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, rotation: np.ndarray | None = None) -> None:
+        self.ids, self.matrix, self.k, self.rotation = ids, matrix, k, rotation
+        self.features = [level_features(self._rotated(matrix), level) for level in LEVELS]
         self.norms = (matrix ** 2).sum(1)
         n = len(ids)
         self.q, self.c = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.score = np.zeros(0)
         self.limit = np.full(n, -np.inf)  # score of the k-th best, once there are k
         self.largest = float(np.abs(matrix).max()) if matrix.size else 0.0
+        self.met, self.scored = 0, 0      # pairs, and those whose exact score was computed
+
+    def _rotated(self, matrix: np.ndarray) -> np.ndarray:
+        return matrix if self.rotation is None else matrix @ self.rotation
 
     def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        rotated = self._rotated(matrix)
         at, step = 0, 4 * self.k
         while at < len(ids):  # few at first, so that the limits are known soon
-            self._add(ids[at:at + step], matrix[at:at + step])
+            part = slice(at, at + step)
+            self._add(ids[part], matrix[part], rotated[part])
             at, step = at + step, min(STEP, 2 * step)
 
-    def _add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
-        norms = (matrix ** 2).sum(1)
+    def _survivors(self, norms: np.ndarray, rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, candidate) of all pairs that no level shows to be too far."""
         room = norms[None, :] + self.norms[:, None]
         # farthest squared distance at which a candidate can still reach the limit
         farthest = np.where(np.isneginf(self.limit)[:, None], np.inf, room - 2 * self.limit[:, None])
         farthest += 1e-9 * (room + np.abs(np.where(np.isinf(farthest), 0, farthest))) + 1e-6
-        alive = np.ones(room.shape, bool)
-        for mine, segments in zip(self.features, LEVELS):
-            if segments > max(1, matrix.shape[1]):
+        reach = (room - farthest) / 2  # least bound on the score of a pair that stays
+        q = c = None
+        for mine, level in zip(self.features, LEVELS):
+            theirs = level_features(rotated, level)
+            # score <= (|q|**2 + |x|**2 - distance of features**2) / 2, taken apart
+            slack_q, slack_c = (self.norms - (mine ** 2).sum(1)) / 2, (norms - (theirs ** 2).sum(1)) / 2
+            if q is None or 8 * len(q) > room.size:
+                fits = mine @ theirs.T + slack_q[:, None] + slack_c[None, :] >= reach
+                if q is not None:
+                    fits = fits[q, c]
+                    q, c = q[fits], c[fits]
+                else:
+                    q, c = np.nonzero(fits)
+            else:
+                bound = np.einsum("ij,ij->i", mine[q], theirs[c]) + slack_q[q] + slack_c[c]
+                fits = bound >= reach[q, c]
+                q, c = q[fits], c[fits]
+            if not len(q):
                 break
-            nearest = room - 2 * (mine @ segment_features(matrix, segments).T)
-            alive &= nearest <= farthest
-            if not alive.any():
-                return
-        q, c = np.nonzero(alive & (self.ids[:, None] != ids[None, :]))
+        return q, c
+
+    def _add(self, ids: np.ndarray, matrix: np.ndarray, rotated: np.ndarray) -> None:
+        q, c = self._survivors((matrix ** 2).sum(1), rotated)
+        other = self.ids[q] != ids[c]
+        q, c = q[other], c[other]
+        self.met += len(self.ids) * len(ids)
+        self.scored += len(q)
         most = self.largest * (float(np.abs(matrix).max()) if matrix.size else 0.0) * max(1, matrix.shape[1])
         if most >= EXACT:  # beyond what doubles add exactly
             left, right = (m.astype(object) for m in (self.matrix, matrix))
             score = np.array([sum(int(a) * int(b) for a, b in zip(left[i], right[j])) for i, j in zip(q, c)], object)
             score = np.clip(score, -(1 << 63), (1 << 63) - 1) if len(score) else score
-        elif len(q) > room.size // 8:
+        elif 8 * len(q) > len(self.ids) * len(ids):
             score = (self.matrix @ matrix.T)[q, c]
         else:
             score = np.einsum("ij,ij->i", self.matrix[q], matrix[c])
@@ -165,8 +215,11 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20, vec_id: str =
                          .withColumn("block", F.monotonically_increasing_id()), "topk-queries")
     packed = materialize(_packed(taken(candidates), CANDIDATE_BLOCK)
                          .withColumn("n", F.monotonically_increasing_id()), "topk-candidates")
-    # tasks per block of queries: one for each 64 blocks of candidates, 16 at least
-    spread = max(16, packed.count() // 64)
+    # tasks per block of queries: one for each 16 blocks of candidates, 4 at least; a task's limits
+    # rise with what it has seen
+    spread = max(4, packed.count() // 16)
+    sample = taken(candidates).orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(ROTATION_SAMPLE)
+    turned = rotations([r["v"] for r in sample.select("v").collect()])
     numbers = blocks.groupBy("width").agg(F.collect_list("block").alias("blocks"))
     # 8 bytes for each 4096 queries of a length, and a row for each length
     left = (packed.join(F.broadcast(numbers), "width")
@@ -189,7 +242,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20, vec_id: str =
                 if batch["block"][i].as_py() != number:
                     if best is not None:
                         yield best.rows()
-                    number, best = batch["block"][i].as_py(), Best(*matrix("q"), k)
+                    number, best = batch["block"][i].as_py(), Best(*matrix("q"), k, turned.get(width))
                 best.add(*matrix("c"))
         if best is not None:
             yield best.rows()

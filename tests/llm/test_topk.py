@@ -3,6 +3,10 @@
 import math
 import random
 
+import numpy as np
+import pyarrow.parquet as pq
+
+from conftest import SF
 from procwatch.llm import topk
 
 
@@ -49,3 +53,36 @@ def test_empty_tables(spark):
     assert found(spark, []) == []
     assert found(spark, [(0, [1.0])]) == []
     assert found(spark, [(1, [1.0]), (2, [1.0])]) == []
+
+
+def test_bounds_leave_few_exact_scores():
+    """On the given vectors, whose axes hardly differ in spread; less on vectors whose axes do."""
+    table = pq.read_table(SF.replace("sf0.001", "sf0.1") + "/embeddings.parquet")
+    rows = np.array(table["embedding"].to_pylist(), float)
+    matrix, ids = np.floor(topk.SCALE * rows), table["vec_id"].to_numpy()
+    asked = ids % 20 == 0
+    best = topk.Best(ids[asked], matrix[asked], 20, topk.rotations(rows.tolist())[rows.shape[1]])
+    best.add(ids, matrix)
+    assert best.met == asked.sum() * len(ids)
+    assert best.scored < 0.3 * best.met
+    scores = matrix[asked] @ matrix.T
+    scores[ids[asked][:, None] == ids[None, :]] = -np.inf
+    assert best.limit.tolist() == np.sort(scores, 1)[:, -20].tolist()
+
+    rng = np.random.default_rng(5)
+    steep = rng.normal(size=(4000, 64)) * 0.9 ** np.arange(64) @ np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    scaled = np.floor(topk.SCALE * steep)
+    best = topk.Best(np.arange(100), scaled[:100], 20, topk.rotations(steep[:2000].tolist())[64])
+    best.add(np.arange(4000), scaled)
+    assert best.scored < 0.15 * best.met
+
+
+def test_any_rotation_gives_the_same_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 10.0 ** (j % 4)) for j in range(9)]) for i in range(150)]
+    want = by_hand(rows, 5, 20)
+    assert found(spark, rows) == want
+    monkeypatch.setattr(topk, "ROTATION_SAMPLE", 3)
+    assert found(spark, rows) == want
+    monkeypatch.setattr(topk, "ROTATION_WIDTH", 4)
+    assert found(spark, rows) == want
