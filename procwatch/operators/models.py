@@ -1,6 +1,7 @@
 """One classifier per parameter: fit, score, evaluate, explain."""
 
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,10 +19,15 @@ from procwatch.session import materialize
 
 SERVING = ["v_avg", "v_std", "v_delta"]
 FOURIER_FEATURES = 96
-FIT_PARTS = 2  # partitions of the rows of a fit; bagging is seeded per partition, so fits depend on it
+FIT_ROWS = 50_000  # training rows a partition of a fit; bagging is seeded per partition, so fits depend on it
 KINDS = {p["id"]: p["model"] for p in fv.PARAMETERS}
 
 
+def fit_parts(n_train: int) -> int:
+    """Partitions that the training rows of a fit lie in."""
+    return max(2, ceil(n_train / FIT_ROWS))
+
+
 def balanced_weights(train: DataFrame, label: str = "label") -> DataFrame:
     """Add `weight` = n / (2 x rows of the class), so both classes weigh the same."""
     counts = {r[label]: r["n"] for r in train.groupBy(label).agg(
@@ -104,12 +110,12 @@ class Fitted:
     importance: dict
 
 
-def fit_parameter(training: DataFrame, param: str, key: list[str], parts: int = FIT_PARTS
+def fit_parameter(training: DataFrame, param: str, key: list[str], parts: int | None = None
                   ) -> Fitted | None:
     """Split, fit, evaluate and explain one parameter; None when there is but one class.
 
     `training` is best a written table: it is read a few times. The rows of a fit lie in
-    `parts` partitions by the hash of their key, however many they are; raise it with the data.
+    `parts` partitions by the hash of their key, by default one for each FIT_ROWS of them.
     """
     rows = training.where(F.col("param") == param).select("param", *key, *SERVING, "label")
     rows = materialize(features.stratified_split(rows, key, ["param", "label"]), "split")
@@ -120,7 +126,7 @@ def fit_parameter(training: DataFrame, param: str, key: list[str], parts: int =
     if shape["classes"] < 2:
         return None
     kind = KINDS[param]
-    train = rows.where("split = 'train'").repartition(parts, *key).sortWithinPartitions(*key).select(
+    train = rows.where("split = 'train'").repartition(parts or fit_parts(shape["n_train"]), *key).sortWithinPartitions(*key).select(
         *SERVING, F.col("label").cast("double").alias("label"))
     model = fit(train, kind)
     test = materialize(score(model, rows.where("split = 'test'")), "predictions")

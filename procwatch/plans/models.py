@@ -1,7 +1,10 @@
 """Registered queries that fit models.
 
 What a fit gives has no SQL. The queries return what has: the held-out rows, counts and rates,
-and 1 where a probability, score or share is one.
+and 1 where a probability or share is one. Labels of the test tables hardly follow from their
+readings, so the models learn a planted label: whether the mean of a parameter's last readings
+lies above a mark, turned round for one row in twenty. Held-out predictions are compared with
+the rule itself; a constant or a random model fails.
 """
 
 import hashlib
@@ -10,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from procwatch.functions import bands, sql_functions
-from procwatch.operators import models
+from procwatch.operators import contributions, metrics, models
 from procwatch.plans import inputs, learning, signals, sql
 from procwatch.session import file_system, materialize, session_dir
 from procwatch.sources import tables
@@ -18,8 +21,20 @@ from procwatch.sources import tables
 EACH = {"temp": "gbm", "ph": "random_forest", "press": "gbm", "cond": "svm", "hum": "ann"}
 
 
+MARK = 0.1712345   # of half the alarm band above the control centre; no mean of readings is equal to it
+TURNED = "0d"      # rows whose hash begins below it have the other label: 13 in 256
+MIN_AGREEMENT, MIN_AUC = 0.9, 0.85
+LEADING = "v_avg"  # the column that the rule looks at
+
+
+def _rule():
+    return F.round("v_avg", 6) > bands.control_centre() + F.lit(MARK) * bands.half_alarm()
+
+
 def _training(spark, sf_dir):
-    return learning._training(spark, sf_dir).select("param", "event_id", *models.SERVING, "label")
+    rows = bands.with_bands(learning._training(spark, sf_dir), bands.dimension(spark))
+    turned = F.substring(F.md5(F.concat(F.lit("turned:"), F.col("event_id").cast("string"))), 1, 2) < TURNED
+    return rows.select("param", "event_id", *models.SERVING, (_rule() != turned).cast("int").alias("label"))
 
 
 def _fit(spark, sf_dir, *params):
@@ -47,12 +62,21 @@ def _is_there(spark, path):
     return files.exists(folder)
 
 
-def _predictions(spark, sf_dir, *params):
-    """The held-out rows, with 1 where the probability is one."""
+def _held_out(spark, sf_dir, *params):
     parts = [spark.read.parquet(f"{folder}/test") for folder in _fit(spark, sf_dir, *params).values()]
-    empty = spark.createDataFrame([], "param string, event_id long, label int, p double")
-    rows = reduce(DataFrame.unionByName, [x.select(*empty.columns) for x in parts], empty)
-    return rows.select("param", "event_id", "label", F.col("p").between(0, 1).cast("int").alias("p_valid"))
+    empty = spark.createDataFrame(
+        [], "param string, event_id long, v_avg double, v_std double, v_delta double, label int, p double")
+    return reduce(DataFrame.unionByName, [x.select(*empty.columns) for x in parts], empty)
+
+
+def _predictions(spark, sf_dir, *params):
+    """The held-out rows, with 1 where the probability is one and where the model has found the rule."""
+    rows = _held_out(spark, sf_dir, *params)
+    sides = bands.with_bands(rows, bands.dimension(spark)).withColumn("_right", (F.col("p") >= 0.5) == _rule())
+    told = sides.groupBy("param").agg(
+        (F.avg(F.col("_right").cast("int")) >= MIN_AGREEMENT).cast("int").alias("rule_found"))
+    return rows.join(told, "param").select(
+        "param", "event_id", "label", F.col("p").between(0, 1).cast("int").alias("p_valid"), "rule_found")
 
 
 def model_gbt(spark, sf_dir):
@@ -71,9 +95,6 @@ def model_mlp(spark, sf_dir):
     return _predictions(spark, sf_dir, "hum")
 
 
-MIN_AUC = 0.25  # labels of the test tables hardly follow from the readings; a reversed score fails
-
-
 def train_all(spark, sf_dir):
     """What was measured, as far as it does not hang on the fit; the rest as 1 where it is possible."""
     schema = models.metrics_table(spark, {}).schema
@@ -88,13 +109,43 @@ def train_all(spark, sf_dir):
 
 
 def permutation_importance(spark, sf_dir):
-    """Of all five models, on all held-out rows; 1 where the importance is a share."""
+    """Of all five models, on all held-out rows; `leads` is 1 where a column matters most."""
     empty = spark.createDataFrame([], "feature string, importance double, param string")
     parts = [models.permutation_importance(models.load(folder, [p])[p], spark.read.parquet(f"{folder}/test"),
                                            ["event_id"]).withColumn("param", F.lit(p))
              for p, folder in _fit(spark, sf_dir, *inputs.PARAM_ORDER).items()]
-    return reduce(DataFrame.unionByName, parts, empty).select(
-        "param", "feature", F.col("importance").between(0, 1).cast("int").alias("valid"))
+    found = materialize(reduce(DataFrame.unionByName, parts, empty), "importances")
+    first = found.groupBy("param").agg(F.max_by("feature", "importance").alias("_first"))
+    return found.join(first, "param").select(
+        "param", "feature", F.col("importance").between(0, 1).cast("int").alias("valid"),
+        (F.col("feature") == F.col("_first")).cast("int").alias("leads"))
+
+
+def tree_contributions(spark, sf_dir):
+    """What each column adds to the score of every held-out row of the tree models.
+
+    1 where the parts add up to the score minus its mean over the held-out rows, and where the
+    column that the rule looks at has the largest mean absolute part of its parameter.
+    """
+    parts = [spark.createDataFrame([], "param string, event_id long, score double, base double, "
+                                   + ", ".join(f"c_{c} double" for c in models.SERVING))]
+    for p, folder in _fit(spark, sf_dir, "temp", "press", "ph").items():
+        model, rows = models.load(folder, [p])[p], spark.read.parquet(f"{folder}/test")
+        found = contributions.contributions(model, rows, rows, models.SERVING)
+        score = F.col("p") if models.KINDS[p] == "random_forest" else F.log(F.col("p") / (1 - F.col("p"))) / 2
+        parts.append(found.select(
+            "param", "event_id", score.alias("score"), "base",
+            *[f"c_{c}" for c in models.SERVING]))
+    explained = materialize(reduce(DataFrame.unionByName, parts), "contributions")
+    each = explained.select("param", F.explode(F.create_map(*[
+        x for c in models.SERVING for x in (F.lit(c), F.col(f"c_{c}"))])).alias("feature", "part"))
+    means = metrics.mean_absolute(each, "feature", "part", ["param"])
+    leads = means.groupBy("param").agg(
+        (F.max_by("feature", "importance") == LEADING).cast("int").alias("leads"))
+    total = sum((F.col(f"c_{c}") for c in models.SERVING), F.lit(0.0))
+    return explained.join(leads, "param").select(
+        "param", "event_id", (F.abs(total - (F.col("score") - F.col("base"))) < 1e-6).cast("int").alias("adds_up"),
+        "leads")
 
 
 def predict_with_models(spark, sf_dir):
@@ -116,14 +167,18 @@ def sql_breach_query(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    model_gbt, model_rf, model_svm, model_mlp, train_all, permutation_importance,
+    model_gbt, model_rf, model_svm, model_mlp, train_all, permutation_importance, tree_contributions,
     predict_with_models, sql_breach_query)}
-_SPLIT = learning._TRAIN + """,
-two AS (SELECT param FROM train GROUP BY param HAVING count(DISTINCT label) > 1),
+_SPLIT = learning._TRAIN + f""",
+planted AS (SELECT * REPLACE (CASE WHEN (round(v_avg, 6) > (cl + ch) / 2::DOUBLE
+                + {MARK}::DOUBLE * greatest((ah - al) / 2::DOUBLE, 1e-9::DOUBLE))
+                <> (substr(md5('turned:' || CAST(event_id AS VARCHAR)), 1, 2) < '{TURNED}') THEN 1 ELSE 0 END AS label)
+            FROM train),
+two AS (SELECT param FROM planted GROUP BY param HAVING count(DISTINCT label) > 1),
 spl AS (SELECT param, event_id, label, row_number() OVER (PARTITION BY param, label
             ORDER BY substr(md5(CAST(event_id AS VARCHAR)), 1, 15), event_id)
         <= floor(count(*) OVER (PARTITION BY param, label) * 0.25::DOUBLE + 0.5::DOUBLE) AS held
-        FROM train WHERE param IN (SELECT param FROM two)),
+        FROM planted WHERE param IN (SELECT param FROM two)),
 kinds AS (SELECT * FROM (VALUES ('temp', 'gbm'), ('ph', 'random_forest'), ('press', 'gbm'), ('cond', 'svm'),
                                 ('hum', 'ann')) t(param, model))"""
 
@@ -131,7 +186,7 @@ kinds AS (SELECT * FROM (VALUES ('temp', 'gbm'), ('ph', 'random_forest'), ('pres
 def _held(*params):
     names = ", ".join(f"'{p}'" for p in params)
     return sql.with_telemetry(
-        _SPLIT + f"SELECT param, event_id, label, 1 AS p_valid FROM spl WHERE held AND param IN ({names})")
+        _SPLIT + f"SELECT param, event_id, label, 1 AS p_valid, 1 AS rule_found FROM spl WHERE held AND param IN ({names})")
 
 
 ORACLES = {
@@ -142,7 +197,10 @@ ORACLES = {
                1 AS shares_sum_to_one
         FROM spl JOIN kinds USING (param) GROUP BY param, model"""),
     "permutation_importance": sql.with_telemetry(_SPLIT + """
-        SELECT param, unnest(['v_avg', 'v_std', 'v_delta']) AS feature, 1 AS valid FROM two"""),
+        SELECT param, unnest(['v_avg', 'v_std', 'v_delta']) AS feature, 1 AS valid,
+               unnest([1, 0, 0]) AS leads FROM two"""),
+    "tree_contributions": sql.with_telemetry(
+        _SPLIT + "SELECT param, event_id, 1 AS adds_up, 1 AS leads FROM spl WHERE held AND param IN ('temp', 'press', 'ph')"),
     "predict_with_models": sql.with_ctes(sql.EVENTS + _SPLIT[_SPLIT.index(",\nh AS"):], """
         SELECT scored.param, scored.window_start,
                CASE WHEN v_avg < tl OR v_avg > th THEN 'trip' WHEN v_avg < al OR v_avg > ah THEN 'alarm'
