@@ -147,19 +147,40 @@ class Index:
         counts are added to the stored ones."""
         new = materialize(chunks.join(self.entries.select("chunk_id"), "chunk_id", "left_anti"), "new-chunks")
         entries = materialize(index_chunks(new), "entries", "source_type")
-
-        def added(old: DataFrame, more: DataFrame, keys: list[str], n: str) -> DataFrame:
-            return old.unionByName(more).groupBy(*keys).agg(F.sum(n).alias(n))
+        return Index(self.chunks.unionByName(new), self.entries.unionByName(entries), *self._counts_with(entries, 1))
+
+    def retract(self, chunk_ids: DataFrame) -> "Index":
+        """The index without the chunks named in `chunk_id`; ids that it does not hold change nothing.
+
+        Only the chunks that go are looked at: their counts are taken off the stored ones, and
+        terms and kinds that nothing is left of go too. Their ids are kept as tombstones that reads
+        leave out, so no file of the index is rewritten; `write` stores what is left.
+        """
+        asked = chunk_ids.select("chunk_id").where(F.col("chunk_id").isNotNull()).distinct()
+        gone = materialize(self.entries.join(asked, "chunk_id", "left_semi"), "retracted")
+        tombstones = materialize(gone.select("chunk_id").distinct(), "tombstones")
+        return Index(self.chunks.join(tombstones, "chunk_id", "left_anti").select(*self.chunks.columns),
+                     self.entries.join(tombstones, "chunk_id", "left_anti").select(*self.entries.columns),
+                     *self._counts_with(gone, -1))
+
+    def replace(self, chunks: DataFrame) -> "Index":
+        """The index with these chunks in place of those of the same ids; new ids are added."""
+        return self.retract(chunks).append(chunks)
+
+    def _counts_with(self, entries: DataFrame, sign: int) -> list[DataFrame]:
+        """Terms, size and kinds after entries come (1) or go (-1): signed counts are added up."""
+        def summed(old: DataFrame, more: DataFrame, keys: list[str], n: str) -> DataFrame:
+            signed = more.withColumn(n, F.col(n) * F.lit(sign))
+            return old.unionByName(signed).groupBy(*keys).agg(F.sum(n).alias(n)).where(F.col(n) > 0)
 
         words = F.col("n_chunks") * F.coalesce("avg_words", F.lit(0.0))
-        sums = (self.size.unionByName(corpus_size(entries))
-                .agg(F.sum("n_chunks").alias("n_chunks"), F.sum(words).alias("_words")))
-        size = sums.select("n_chunks", (F.round("_words") / F.col("n_chunks")).alias("avg_words"))
-        return Index(
-            self.chunks.unionByName(new), self.entries.unionByName(entries),
-            materialize(added(self.terms, term_stats(entries), ["term"], "df"), "terms"),
-            materialize(size, "size"),
-            materialize(added(self.kinds, kind_counts(entries), ["param", "source_type"], "n"), "kinds"))
+        change = corpus_size(entries).withColumn("n_chunks", F.col("n_chunks") * F.lit(sign))
+        sums = self.size.unionByName(change).agg(F.sum("n_chunks").alias("n_chunks"), F.sum(words).alias("_words"))
+        size = sums.select("n_chunks", F.when(
+            F.col("n_chunks") > 0, F.round("_words") / F.col("n_chunks")).alias("avg_words"))
+        return [materialize(summed(self.terms, term_stats(entries), ["term"], "df"), "terms"),
+                materialize(size, "size"),
+                materialize(summed(self.kinds, kind_counts(entries), ["param", "source_type"], "n"), "kinds")]
 
     def write(self, folder: str) -> None:
         """Store chunks, entries and statistics; searches then read instead of counting."""

@@ -147,6 +147,17 @@ def index_append(spark, sf_dir):
     return _term_table(grown.terms, grown.size.first())
 
 
+def index_retract(spark, sf_dir):
+    """All documents indexed, procedures in an outdated wording and deviations a second time under
+    other ids; then the wording is replaced and the second ones are taken out again."""
+    chunks = inputs.document_chunks(spark, sf_dir)
+    outdated = F.when(F.col("source_type") == "sop", F.concat(F.lit("superseded wording "), "text")).otherwise(F.col("text"))
+    twice = chunks.where(F.col("source_type") == "deviation").withColumn("chunk_id", F.concat(F.lit("copy:"), "chunk_id"))
+    first = index.Index.of(chunks.withColumn("text", outdated).unionByName(twice))
+    right = first.replace(chunks.where(F.col("source_type") == "sop")).retract(twice)
+    return _term_table(right.terms, right.size.first())
+
+
 def _r_of(column, name, digits=6):
     return F.round(column + F.lit(NUDGE), digits).alias(name)
 
@@ -245,7 +256,7 @@ def knn_cosine(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     tokenize_ws, tokenize_alnum, hash_bucket, snippet, hard_split_chunks, chunk_id, chunk_text,
     infer_source_type, verbalize_rows, corpus_union, corpus_stats, corpus_append, front_matter,
-    postings, term_stats, index_append, hash_embeddings, index_roundtrip, query_candidates, candidate_filter,
+    postings, term_stats, index_append, index_retract, hash_embeddings, index_roundtrip, query_candidates, candidate_filter,
     bm25_scores, dense_scores, hybrid_scores, topk_hybrid, mmr_rerank, knn_cosine)}
 
 _SUFFIX = "round({0} + 1e-9::DOUBLE, 6) AS {1}"
@@ -310,7 +321,7 @@ ORACLES = {
         SELECT doc_id, 'DOC-' || doc_id || ' r1' AS id, 'On: ' || source AS title, lang, 3 AS n_keys,
                md5(regexp_replace(text, '^{sql.WS}+|{sql.WS}+$', '', 'g')) AS body_md5 FROM documents""",
     "postings": sql.with_ctes(sql.INDEX, "SELECT chunk_id, term, tf FROM post"),
-    **dict.fromkeys(("term_stats", "index_append"), sql.with_ctes(sql.INDEX, f"""
+    **dict.fromkeys(("term_stats", "index_append", "index_retract"), sql.with_ctes(sql.INDEX, f"""
         SELECT term, df, {_SUFFIX.format('idf', 'idf')}, n AS n_chunks,
                {_SUFFIX.format('avgdl', 'avg_words')} FROM idf, size""")),
     "hash_embeddings": sql.with_ctes(sql.INDEX, f"""
