@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from procwatch.functions import policy
-from procwatch.operators import audit, governance
+from procwatch.operators import audit, consistency, governance
 from procwatch.plans import inputs, signals, sql
 from procwatch.session import materialize
 
@@ -200,6 +200,27 @@ def audit_append_only(spark, sf_dir):
     return audit.rewritten_rows(before, now.unionByName(again), ["chain", "id"])
 
 
+def audit_consistency(spark, sf_dir):
+    """The peaks of the log's first half against the whole log; every second chain was rewritten
+    since, from its first row on, with hashes that are right."""
+    rows = _audit_rows(spark, sf_dir)
+    middle = rows.agg(F.floor(F.avg("id"))).first()[0]
+    first = rows.groupBy("chain").agg(F.min("id").alias("_first"))
+    forged = rows.join(first, "chain").withColumn("detail", F.when(
+        (F.col("chain") % 2 == 1) & (F.col("id") == F.col("_first")), F.lit('{"forged": 1}'))
+        .otherwise(F.col("detail"))).drop("_first")
+
+    def grown(log):
+        chained = audit.build_chain(log, "chain", "id", SEGMENT)
+        return consistency.nodes(consistency.segment_leaves(chained, "chain", "id", SEGMENT), "chain")
+
+    before = materialize(consistency.commitment(grown(rows.where(F.col("id") <= middle)), "chain"), "commitment")
+    later = grown(forged)
+    now = materialize(consistency.commitment(later, "chain"), "commitment")
+    return consistency.check(before, now, consistency.proof(later, before, now, "chain"), "chain").withColumn(
+        "consistent", F.col("consistent").cast("int"))
+
+
 def audit_summary(spark, sf_dir):
     return audit.summary(_audit_rows(spark, sf_dir))
 
@@ -208,7 +229,7 @@ QUERIES = {f.__name__: f for f in (
     policy_decision, policy_reason, policy_obligations, rbac_route, signature_validate,
     signature_known_event, signature_log, signature_refusals, events_without_card,
     card_with_signature, pending_signatures, governed_events, audit_chain, audit_append,
-    audit_verify, audit_deleted_segment, audit_append_only, audit_summary)}
+    audit_verify, audit_deleted_segment, audit_append_only, audit_consistency, audit_summary)}
 
 _DECIDE = """,
 held AS (SELECT * FROM (VALUES ('temp', 'temp'), ('ph', 'ph'), ('press', 'press'),
@@ -317,6 +338,11 @@ ORACLES = {
         WHERE event_id % 89 = 0 AND event_id % 101 <> 0
         UNION ALL
         SELECT user_id, event_id, 'duplicate' FROM events WHERE event_id % 101 = 0""",
+    "audit_consistency": """
+        WITH r AS (SELECT user_id AS chain, event_id <= (SELECT floor(avg(event_id)) FROM events) AS early FROM events),
+        n AS (SELECT chain, count(*) FILTER (early) // 7 AS n_before, count(*) // 7 AS n_now FROM r GROUP BY chain)
+        SELECT chain, n_before, n_now, CASE WHEN chain % 2 = 1 AND n_before > 0 THEN 0 ELSE 1 END AS consistent
+        FROM n WHERE n_now > 0""",
     "audit_summary": """
         SELECT CASE WHEN event_type = 'error' THEN 'warn' ELSE 'info' END AS level,
                event_type AS action, count(*) AS n_rows FROM events GROUP BY ALL""",
