@@ -118,6 +118,25 @@ def jsonl_records(spark, sf_dir):
     return files.jsonl_records(spark, folder, "p_partkey long, p_name string, p_size int")
 
 
+def variant_records(spark, sf_dir):
+    """Parts and orders, of different fields, and suppliers' lines cut short, read in one scan."""
+    folder = _folder(spark, "mixed-jsonl")
+    part = inputs.table(spark, sf_dir, "part").select(F.to_json(F.struct(
+        F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("label"),
+        F.col("p_size").alias("number"), F.struct("p_type", "p_brand").alias("extra"))).alias("value"))
+    order = inputs.table(spark, sf_dir, "orders").select(F.to_json(F.struct(
+        F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("number"),
+        F.array("o_custkey").alias("extra"))).alias("value"))
+    cut = inputs.table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit('{"kind": "supplier", "id": '), F.col("s_suppkey").cast("string")).alias("value"))
+    part.unionByName(order).unionByName(cut).write.text(folder)
+    found = files.variant_records(spark, folder, {"kind": "string", "id": "long", "label": "string", "number": "int"})
+    customer = F.try_variant_get("record", "$.extra[0]", "long")
+    brand = F.try_variant_get("record", "$.extra.p_brand", "string")
+    return found.select("kind", "id", "label", "number", "n_fields", customer.alias("customer"), brand.alias("brand"),
+                        "bad_line")
+
+
 TURNS_PER_FILE = 250
 
 
@@ -272,7 +291,7 @@ def dataset_catalog(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     json_tolerant_parse, iso_timestamp_parse, features_long, event_from_json, event_defaults,
-    breach_json_sink, csv_records, json_records, jsonl_records, text_corpus_scan, historian_scan,
+    breach_json_sink, csv_records, json_records, jsonl_records, variant_records, text_corpus_scan, historian_scan,
     vector_upsert, upsert_sink, identify_param, dataset_profile, infer_types, dataset_preview, adapt_columns,
     dataset_promote, dataset_catalog)}
 
@@ -346,6 +365,11 @@ ORACLES = {
                CASE WHEN o_orderkey % 4 <> 0 THEN 'Effective' END AS effectiveness FROM orders""",
     "json_records": "SELECT p_partkey, p_name, p_size FROM part",
     "jsonl_records": "SELECT p_partkey, p_name, p_size FROM part",
+    "variant_records": """
+        SELECT 'part' AS kind, p_partkey AS id, p_name AS label, CAST(p_size AS INT) AS number, 5 AS n_fields,
+               CAST(NULL AS BIGINT) AS customer, p_brand AS brand, CAST(NULL AS VARCHAR) AS bad_line FROM part
+        UNION ALL SELECT 'order', o_orderkey, NULL, NULL, 4, o_custkey, NULL, NULL FROM orders
+        UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, '{"kind": "supplier", "id": ' || s_suppkey FROM supplier""",
     "text_corpus_scan": """
         WITH n AS (SELECT CAST(ceil(count(*) / 250::DOUBLE) AS BIGINT) AS n FROM conversations)
         SELECT ('0x' || substr(md5(conv_id || '-' || turn), 1, 8))::BIGINT % n AS f,

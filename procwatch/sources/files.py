@@ -26,6 +26,30 @@ def jsonl_records(spark: SparkSession, path: str, schema: T.StructType | str) ->
     return spark.read.schema(schema).json(path)
 
 
+def variant_records(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
+    """Records of any shape, one JSON value per line, in one scan without a schema for all of them.
+
+    `fields` names columns and the types they are read as, each from the top-level field of that
+    name; null where a record lacks it or holds something else. `record` is the whole record as a
+    variant, `n_fields` how many top-level fields it has (null unless it is an object), and
+    `bad_line` the text of a line that is no JSON, whose other columns are null. Blank lines are
+    left out.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.withColumn("record", F.try_parse_json("value"))
+    named = [F.try_variant_get("record", f"$['{name}']", kind).alias(name) for name, kind in fields.items()]
+    top = F.json_object_keys(F.to_json("record"))
+    return parsed.select(*named, F.size(top).alias("n_fields"), "record",
+                         F.when(F.col("record").isNull(), F.col("value")).alias("bad_line")).withColumn(
+        "n_fields", F.when(F.col("n_fields") >= 0, F.col("n_fields")))
+
+
+def variant_shapes(records: DataFrame, by: str, record: str = "record") -> DataFrame:
+    """(by, shape, n): the merged type of the records of each group; combined where they lie."""
+    return records.where(F.col(record).isNotNull()).groupBy(by).agg(
+        F.schema_of_variant_agg(record).alias("shape"), F.count(F.lit(1)).alias("n"))
+
+
 def text_documents(spark: SparkSession, root: str) -> DataFrame:
     """(path, text) of every .md and .txt file below `root`; blank files are left out.
 
