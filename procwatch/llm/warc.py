@@ -4,6 +4,8 @@ An archive starts with a skippable frame that holds the dictionary, as readers o
 `.warc.zst` files expect; then follows one frame per record. Spark's text writer puts the
 frames into files through its commit protocol, on any file system and safely under lost
 tasks; what it writes after each row is an empty skippable frame, which decoders pass over.
+A row holds about `ROW_BYTES` of frames. A task starts a new archive, its dictionary first, after
+`ARCHIVE_BYTES`: Spark begins a file every `ARCHIVE_ROWS` rows, and empty rows fill up to there.
 
 The dictionary is trained on a bounded sample of payloads (`SAMPLE_ROWS`, each cut to
 `SAMPLE_CHARS` characters); it only decides how well records compress. Of equal payloads
@@ -15,7 +17,9 @@ join whose large groups Spark splits.
 import hashlib
 import re
 import struct
+import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import zstandard
@@ -29,6 +33,7 @@ DICTIONARY_FRAME = 0x184D2A5D
 ROW_END = struct.pack("<II", SKIPPABLE, 0).decode("ascii")
 MIN_REVISIT_BYTES = 100
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 8192, 64 * 1024
+ROW_BYTES, ARCHIVE_BYTES, ARCHIVE_ROWS = 1 << 20, 128 << 20, 256
 _DEAL = 64  # parts in which the sample is first looked for
 LEVEL = 3
 _ID = "urn:x-page:"
@@ -64,17 +69,28 @@ def _header(fields: dict[str, object]) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n"
 
 
+def _record_id(page_id: int | None, mark: str) -> str:
+    return f"<{_ID}{'' if page_id is None else page_id}:{mark}>"
+
+
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str,
-                 refers_to: int | None) -> bytes:
-    """One record: a resource with its payload, or a revisit without."""
+                 refers_to: int | None, date: str) -> bytes:
+    """One record: a response with its payload, or a revisit without.
+
+    A response that others may refer to is named by its page and digest; what nothing refers to
+    by its page and a mark of its own. So a repeated page id does not repeat a record's id, unless
+    page and payload are both the same.
+    """
     revisit = refers_to is not None
     block = b"" if revisit else payload
+    referable = not revisit and page_id is not None and len(payload) >= MIN_REVISIT_BYTES
     safe_url = None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
     return _header({
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<{_ID}{'' if page_id is None else page_id}>",
+        "WARC-Record-ID": _record_id(page_id, digest[:32] if referable else uuid.uuid4().hex),
+        "WARC-Date": date,
         "WARC-Target-URI": safe_url,
-        "WARC-Refers-To": f"<{_ID}{refers_to}>" if revisit else None,
+        "WARC-Refers-To": _record_id(refers_to, digest[:32]) if revisit else None,
         "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
                         if revisit else None,
         "WARC-Payload-Digest": f"sha256:{digest}",
@@ -104,31 +120,51 @@ def _with_references(pages: DataFrame, page_id: str, url: str, html: str) -> Dat
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url",
-                   html: str = "html") -> str:
+                   html: str = "html", date: str | None = None) -> str:
     """Write one record per row of `pages` into archives under `folder`; return the folder.
 
     A null payload is empty. Payloads under 100 bytes are all stored. Rows that share the
     smallest id of a payload are all stored; a null id is larger than any other, and if all
-    ids of a payload are null all are stored. An empty table gives archives without records.
+    ids of a payload are null all are stored. An empty table gives archives without records. A long
+    text is one record, and may carry an archive beyond its size. `date` (by default the time of the
+    call) is the records' WARC-Date, as the table has none.
     Only the named columns are read, whatever others are called.
     """
     dictionary = train_dictionary(pages, page_id, html)
-    first_row = struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary
+    first_frame = struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    row_bytes, archive_bytes, archive_rows = ROW_BYTES, ARCHIVE_BYTES, ARCHIVE_ROWS
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(*values: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"frame": pa.array(values, pa.binary())})
+
         frame = _frames(dictionary)
-        yield pa.RecordBatch.from_pydict({"frame": pa.array([first_row], pa.binary())})
+        held, size = [first_frame], len(first_frame)
+        written = n_rows = 0  # of the archive at hand
         for batch in batches:
             columns = [batch[c] for c in ("page_id", "url", "payload", "digest", "refers_to")]
-            frames = []
             for i in range(batch.num_rows):
+                if not held and not n_rows:
+                    held, size = [first_frame], len(first_frame)
                 page, address, payload, digest, refers = [c[i].as_py() for c in columns]
-                frames.append(frame(record_bytes(page, address, payload, digest, refers)))
-            yield pa.RecordBatch.from_pydict({"frame": pa.array(frames, pa.binary())})
+                held.append(frame(record_bytes(page, address, payload, digest, refers, date)))
+                size += len(held[-1])
+                if size < row_bytes:
+                    continue
+                yield rows(b"".join(held))
+                n_rows, written = n_rows + 1, written + size
+                held, size = [], 0
+                if written >= archive_bytes or n_rows == archive_rows:
+                    if n_rows < archive_rows:
+                        yield rows(*[b""] * (archive_rows - n_rows))
+                    written = n_rows = 0
+        if held:
+            yield rows(b"".join(held))
 
     (_with_references(pages, page_id, url, html).mapInArrow(compress, "frame binary")
      .select(F.col("frame").cast("string").alias("value"))
-     .write.option("lineSep", ROW_END).mode("overwrite").text(folder))
+     .write.option("lineSep", ROW_END).option("maxRecordsPerFile", ARCHIVE_ROWS).mode("overwrite").text(folder))
     return folder
 
 
@@ -165,7 +201,7 @@ def parse_record(record: bytes) -> dict:
 
 
 def _page(reference: str | None) -> int | None:
-    number = reference[len(_ID) + 1:-1] if reference else ""
+    number = reference[len(_ID) + 1:-1].split(":")[0] if reference else ""
     return int(number) if number else None
 
 
@@ -213,7 +249,6 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
 
 def archived(pages: DataFrame, **names: str) -> DataFrame:
     """Write archives into the shared folder and return what reading them back gives."""
-    import uuid
     spark = pages.sparkSession
     folder = write_archives(pages, f"{session_dir(spark)}/warc-{uuid.uuid4().hex}", **names)
     return read_archives(spark, folder)

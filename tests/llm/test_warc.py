@@ -61,3 +61,33 @@ def test_format(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.archived(frame(spark, [])).count() == 0
+
+
+def test_archives_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ROW_BYTES", 300)
+    monkeypatch.setattr(warc, "ARCHIVE_ROWS", 9)
+    pages = spark.range(400).select(
+        F.col("id").alias("page_id"), F.lit("u").alias("url"),
+        F.concat_ws(" ", *[F.md5(F.concat("id", F.lit(f":{i}"))) for i in range(12)]).alias("html")).coalesce(2)
+    for name, size, most in (("rows", 1 << 30, 9 * 1200), ("bytes", 2000, 4000)):  # ends by rows, or by bytes
+        monkeypatch.setattr(warc, "ARCHIVE_BYTES", size)
+        folder = warc.write_archives(pages, f"file://{tmp_path}/{name}")
+        contents = [open(p, "rb").read() for p in glob.glob(f"{tmp_path}/{name}/part-*")]
+        assert len(contents) > 10 and max(map(len, contents)) < most + len(warc.train_dictionary(pages, "page_id", "html"))
+        assert all(c[:4] == b"\x5d\x2a\x4d\x18" for c in contents)
+        read = warc.read_archives(spark, folder, payloads=True).select("page_id", F.col("payload").cast("string"))
+        assert sorted(map(tuple, read.collect())) == sorted(map(tuple, pages.select("page_id", "html").collect()))
+
+
+def test_record_fields(spark, tmp_path):
+    warc.write_archives(frame(spark), f"file://{tmp_path}/f", date="2026-01-02T03:04:05Z")
+    fields = [warc.parse_record(r) for p in glob.glob(f"{tmp_path}/f/part-*")
+              for r in warc.split_frames(memoryview(open(p, "rb").read()))]
+    ids = {}
+    for f in fields:
+        assert f["warc-date"] == "2026-01-02T03:04:05Z"
+        ids.setdefault(f["warc-record-id"], set()).add(f["block"])
+    assert len(fields) == len(ROWS) and all(len(blocks) == 1 for blocks in ids.values())
+    assert len(ids) == len(ROWS) - 1  # page 3 stands twice with one payload
+    targets = {f["warc-refers-to"] for f in fields if "warc-refers-to" in f}
+    assert targets and all(ids[t] == {LONG.encode()} for t in targets)
