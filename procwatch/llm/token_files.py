@@ -40,6 +40,8 @@ GROUP = 256
 BLOCK_IDS = 1 << 18
 STEP_IDS = 1 << 20  # ids encoded at once, a multiple of GROUP
 BATCH_ROWS = 500
+FILE_BLOCKS = 128  # blocks of a file at most: some 90 MB, so that a task can hold one
+PREFIX_CHARS = 64  # of its text, by which rows that repeat an id are dealt
 MEMO_ENTRIES = 1_000_000
 _NULL = -(1 << 63)
 #: ids per word and their bits, by selector; most ids first.
@@ -274,8 +276,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "do
     """Write the ids of all texts, each followed by `end_id`, under `folder` in order of doc_id.
 
     `tokenizer` is the path of a tokenizer file, the same on all machines. A null or empty text
-    has the end id only. Null ids come first; rows that repeat an id are ordered by their text.
-    Files in order of their names hold the documents in order. An empty table gives no blocks.
+    has the end id only. Null ids come first; rows that repeat an id are ordered by their text, and
+    dealt over tasks by its first `PREFIX_CHARS` characters. A long text is one row of a block. Files
+    in order of the numbers in their names hold the documents in order; a task starts a new one
+    after `FILE_BLOCKS` blocks. An empty table gives no blocks.
     """
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept_in_worker(("token encoder", tokenizer), lambda: Encoder(tokenizer))
@@ -301,11 +305,16 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "do
             yield block()
 
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-     .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-     .mapInArrow(pack, "block binary").select(F.col("block").cast("string").alias("value"))
-     .write.option("lineSep", ROW_END).mode("overwrite").text(folder))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(BATCH_ROWS))
+    try:
+        (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+         .repartitionByRange("doc_id", F.substring("text", 1, PREFIX_CHARS)).sortWithinPartitions("doc_id", "text")
+         .mapInArrow(pack, "block binary").select(F.col("block").cast("string").alias("value"))
+         .write.option("lineSep", ROW_END).option("maxRecordsPerFile", FILE_BLOCKS).mode("overwrite").text(folder))
+    finally:
+        spark.conf.set(setting, before)
     return folder
 
 
@@ -348,12 +357,15 @@ def read_tokens(spark: SparkSession, folder: str, ids: bool = False) -> DataFram
 def with_starts(read: DataFrame) -> DataFrame:
     """Replace the place in a file by `start`, the ids of all documents before."""
     read = materialize(read, "token-rows")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # a task's files are numbered, and tasks are; numbers of more digits are not in order of their names
+    numbers = [F.regexp_extract("file", pattern, 1).cast("long")
+               for pattern in (r"part-(\d+)-[^/]*$", r"-c(\d+)[^/-]*$")]
+    before = Window.orderBy(*numbers).rowsBetween(Window.unboundedPreceding, -1)
     files = (read.groupBy("file").agg(F.sum("n_tokens").alias("_n"))
              .select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
     kept = [c for c in read.columns if c not in ("file", "n", "file_start")]
-    # one row per file, and a task wrote each: bounded by the number of range partitions
-    return read.join(F.broadcast(files), "file").select(
+    # one row per file; written first, so that Spark decides by its size
+    return read.join(materialize(files, "token-files"), "file").select(
         kept[0], (F.col("_before") + F.col("file_start")).alias("start"), *kept[1:])
 
 

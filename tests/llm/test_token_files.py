@@ -79,3 +79,28 @@ def test_odd_rows(spark, tmp_path):
 
 def test_empty_table(spark):
     assert token_files.token_table(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
+
+
+def test_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BLOCKS", 2)
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 40)
+    rows = [(i // 7, f"text {i} of {i % 5}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    folder = token_files.write_tokens(docs, f"file://{tmp_path}/t", tokenizer_path())
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+    read = token_files.read_tokens(spark, folder, ids=True)
+    assert read.select("file").distinct().count() > 12
+    plain, start = Tokenizer.from_file(tokenizer_path()), 0
+    for r, (doc, text) in zip(token_files.with_starts(read).orderBy("start").collect(), sorted(rows), strict=True):
+        assert (r["doc_id"], r["start"]) == (doc, start)
+        assert r["ids"] == plain.encode(text, add_special_tokens=False).ids + [2]
+        start += r["n_tokens"]
+
+
+def test_files_are_ordered_by_their_numbers(spark):
+    names = ["part-00009-x-c000.txt", "part-00009-x-c999.txt", "part-00009-x-c1000.txt", "part-100000-x-c000.txt"]
+    read = spark.createDataFrame([(f"f/part-7-y/{n}", 0, i, 0, 1, 0) for i, n in enumerate(names)],
+                                 "file string, n long, doc_id long, file_start long, n_tokens long, ids_crc32 long")
+    got = {r["doc_id"]: r["start"] for r in token_files.with_starts(read).collect()}
+    assert got == {i: i for i in range(len(names))}
