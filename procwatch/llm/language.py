@@ -3,8 +3,8 @@
 A text is the average of the embeddings of its byte n-grams, hashed into buckets, taken
 over the whole text; a linear layer and a softmax follow. Both are trained together by
 stochastic gradient descent in numpy on a bounded sample of labelled rows
-(`SAMPLE_PER_LANGUAGE` rows of each of the `LANGUAGES` most frequent languages,
-`SAMPLE_CHARS` characters of each). Because averaging and the layer are linear, the trained
+(`SAMPLE_PER_LANGUAGE` rows of each language, `SAMPLE_CHARS` characters of each row and fewer
+where `SAMPLE_TOTAL` is shared by many languages). Every label is learned. Because averaging and the layer are linear, the trained
 model is one table of bucket by language, and a text's logits are the mean of the rows of
 its n-grams.
 
@@ -22,10 +22,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from procwatch.llm.inputs import free_name
 from procwatch.llm.words import IS_WORD, LOWER, row_groups, text_buffer
+from procwatch.session import materialize
 
 SAMPLE_PER_LANGUAGE = 500
 SAMPLE_CHARS = 20_000
-LANGUAGES = 100    # learned at most: the most frequent ones
+SAMPLE_TOTAL = 400_000_000  # characters of the whole sample at most
 _DEAL = 64         # parts in which a language's sample is first looked for
 REJECTED = 0.001
 UNKNOWN = "und"
@@ -162,28 +163,27 @@ def is_held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """Train on a bounded sample of the rows that have a language and are not held out.
 
-    Of the LANGUAGES most frequent languages the sample takes the rows whose ids have the
-    smallest hashes; they are found without their texts, in parts first, so that a frequent
-    language does not meet in one task. The driver holds SAMPLE_PER_LANGUAGE * SAMPLE_CHARS
-    characters of each language at most.
+    Of every language the sample takes the rows whose ids have the smallest hashes; they are
+    found without their texts, in parts first, so that a frequent language does not meet in one
+    task. A row gives SAMPLE_CHARS characters, or its share of SAMPLE_TOTAL if that is less, which
+    begins beyond 40 languages; so the driver holds SAMPLE_TOTAL characters at most.
     """
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()
                         & ~is_held_out(F.col(doc_id)) & F.col(text).rlike(r"\p{L}"))
     hashed = usable.select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id)).alias("h"), F.col(text).alias("text"))
     narrow = hashed.select("lang", "h")
-    counts = narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    learned = [r["lang"] for r in counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    smallest = narrow.where(F.col("lang").isin(learned)) if learned else narrow.limit(0)
+    smallest = narrow
     for part in (["lang", F.pmod("h", F.lit(_DEAL))], ["lang"]):
         order = Window.partitionBy(*part).orderBy("h")
         smallest = smallest.withColumn("n", F.row_number().over(order)).where(
             F.col("n") <= SAMPLE_PER_LANGUAGE).drop("n")
-    cuts = {r["lang"]: r["cut"] for r in smallest.groupBy("lang").agg(F.max("h").alias("cut")).collect()}
-    if not cuts:
+    cuts = materialize(smallest.groupBy("lang").agg(F.max("h").alias("cut")), "language-cuts")
+    n_languages = cuts.count()
+    if not n_languages:
         return None
-    cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
-    rows = (hashed.where(F.col("h") <= F.try_element_at(cut, F.col("lang")))
-            .groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    n_chars = max(1, min(SAMPLE_CHARS, SAMPLE_TOTAL // (SAMPLE_PER_LANGUAGE * n_languages)))
+    rows = (hashed.join(cuts, "lang").where(F.col("h") <= F.col("cut"))
+            .groupBy("lang", "h").agg(F.min(F.substring("text", 1, n_chars)).alias("text"))
             .orderBy("lang", "h").collect())  # a repeated id counts once
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 

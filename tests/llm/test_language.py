@@ -63,3 +63,10 @@ def test_without_labels(spark):
     assert got == {1: ("und", False), 3: ("und", True)}
     empty = docs.where("doc_id > 9")
     assert language.predict(empty, _model()).count() == 0 and language.fit(empty) is None
+
+
+def test_every_label_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_TOTAL", 130 * 500 * 30)  # 30 characters a row
+    rows = [(i, f"{'abcdefghijklm'[i % 13] * 3}{'nopqrstuvw'[i // 13 % 10] * 3} " * 9, f"l{i % 130}") for i in range(1300)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted({lang for *_, lang in rows})
