@@ -14,7 +14,7 @@ from procwatch.operators import profile
 from procwatch.plans import inputs, signals, sql
 from procwatch.plans.signals import NUDGE
 from procwatch.session import session_dir
-from procwatch.sources import files, tables, telemetry
+from procwatch.sources import deltas, files, tables, telemetry
 
 
 def _folder(spark, label):
@@ -175,8 +175,20 @@ def vector_upsert(spark, sf_dir):
     late = rows.where(F.col("vec_id") % 6 == 0).withColumns(
         {"version": F.lit(2), "label": F.col("label") + 200})
     for batch in (rows, newer, late, newer):
-        tables.upsert(batch, folder, ["vec_id"], [F.desc("version")], parts=4)
-    return tables.read_upserted(spark, folder).select(
+        deltas.upsert(batch, folder, ["vec_id"], [F.desc("version")], fanout=3)
+    return deltas.read(spark, folder, ["vec_id"], [F.desc("version")]).select(
+        "vec_id", "label", "version", F.size("embedding").alias("n"))
+
+
+def vector_lookup(spark, sf_dir):
+    """The largest id of each label, changed after all were stored, and looked up among the runs."""
+    folder = _folder(spark, "vectors")
+    rows = inputs.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.lit(1).alias("version"), "embedding")
+    last = rows.groupBy("label").agg(F.max("vec_id").alias("vec_id"))
+    changed = rows.join(last, ["label", "vec_id"]).where("label % 2 = 0").withColumn("version", F.lit(2))
+    for batch in (rows, changed):
+        deltas.upsert(batch, folder, ["vec_id"], [F.desc("version")])
+    return deltas.lookup(last.select("vec_id"), folder, ["vec_id"], [F.desc("version")]).select(
         "vec_id", "label", "version", F.size("embedding").alias("n"))
 
 
@@ -292,7 +304,7 @@ def dataset_catalog(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     json_tolerant_parse, iso_timestamp_parse, features_long, event_from_json, event_defaults,
     breach_json_sink, csv_records, json_records, jsonl_records, variant_records, text_corpus_scan, historian_scan,
-    vector_upsert, upsert_sink, identify_param, dataset_profile, infer_types, dataset_preview, adapt_columns,
+    vector_upsert, vector_lookup, upsert_sink, identify_param, dataset_profile, infer_types, dataset_preview, adapt_columns,
     dataset_promote, dataset_catalog)}
 
 # What the catalog says of the columns.
@@ -381,6 +393,9 @@ ORACLES = {
         SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label,
                CASE WHEN vec_id % 3 = 0 THEN 3 ELSE 1 END AS version,
                CAST(len(embedding) AS INT) AS n FROM embeddings""",
+    "vector_lookup": """
+        SELECT max(vec_id) AS vec_id, label, CASE WHEN label % 2 = 0 THEN 2 ELSE 1 END AS version,
+               arg_max(len(embedding), vec_id) AS n FROM embeddings GROUP BY label""",
     "upsert_sink": sql.with_events(
         "SELECT event_id, param, CASE param WHEN 'ph' THEN 0.5::DOUBLE WHEN 'hum' THEN 0.25::DOUBLE ELSE p_breach END AS p_breach FROM ev"),
     "identify_param": sql.with_telemetry("""

@@ -23,6 +23,7 @@ from procwatch.session import file_system, materialize
 
 FANOUT = 8
 FILE_ROWS = 2_000_000
+LOOKUP_KEYS = 10  # beyond, Parquet's filter of a list is but a range
 _KEY, _RUN = "_key_hash", "_run_no"
 
 
@@ -155,15 +156,19 @@ def read(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[Co
 
 
 def lookup(wanted: DataFrame, path: str, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The current rows of a few keys, up to ten: their hashes reach the scan, where ranges and bloom
-    filters leave out files and row groups. More keys: join `read` with them instead."""
+    """The current rows of the keys in `wanted`.
+
+    The hashes of up to `LOOKUP_KEYS` keys reach the scan, where ranges and bloom filters leave out
+    files and row groups. More keys are joined with all current rows.
+    """
     spark = wanted.sparkSession
-    hashes = [r[0] for r in wanted.select(F.xxhash64(*keys)).distinct().limit(11).collect()]
-    if len(hashes) > 10:
-        raise ValueError("lookup is for up to ten keys")
-    found = [_run(spark, path, r).where(F.col(_KEY).isin(hashes)) for r in manifest(spark, path).runs]
-    if not found:
-        raise ValueError(f"no keyed table at {path}")
-    rows = _best(_union(found), keys, order).drop(_KEY, _RUN)
-    match = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(wanted[k]) for k in keys])
-    return rows.join(F.broadcast(wanted), match, "left_semi")  # ten rows, as counted above
+    wanted = materialize(wanted.select(*keys).distinct(), "delta-keys")
+    hashes = [r[0] for r in wanted.select(F.xxhash64(*keys)).limit(LOOKUP_KEYS + 1).collect()]
+    if len(hashes) > LOOKUP_KEYS:
+        rows = read(spark, path, keys, order)
+    else:
+        runs = [_run(spark, path, r).where(F.col(_KEY).isin(hashes)) for r in manifest(spark, path).runs]
+        if not runs:
+            raise ValueError(f"no keyed table at {path}")
+        rows = _best(_union(runs), keys, order).drop(_KEY, _RUN)
+    return rows.join(wanted, reduce(lambda a, b: a & b, [rows[k].eqNullSafe(wanted[k]) for k in keys]), "left_semi")
