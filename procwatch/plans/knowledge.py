@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from procwatch.functions import chunking, text as tx
-from procwatch.operators import corpus, index, search
+from procwatch.operators import corpus, index, search, vector_cells
 from procwatch.plans import inputs, sql
 from procwatch.plans.signals import NUDGE
 from procwatch.session import file_system, session_dir
@@ -241,15 +241,26 @@ def mmr_rerank(spark, sf_dir):
     return _hits(spark, sf_dir).select("query_id", "rank", "chunk_id", _r("score"))
 
 
-def knn_cosine(spark, sf_dir):
-    """The five vectors nearest to the mean vector of each label."""
-    stored = inputs.table(spark, sf_dir, "embeddings")
+def _label_means(stored):
     means = (stored.select("label", F.posexplode("embedding").alias("i", "x"))
              .groupBy("label", "i").agg(F.avg("x").alias("x"))
              .groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))),
                                                lambda e: F.round(e["x"], 9)).alias("mean")))
-    return search.nearest(stored, means.withColumnRenamed("mean", "embedding"), "vec_id",
-                          "embedding", "label", 5).select(
+    return means.withColumnRenamed("mean", "embedding")
+
+
+def knn_cosine(spark, sf_dir):
+    """The five vectors nearest to the mean vector of each label."""
+    stored = inputs.table(spark, sf_dir, "embeddings")
+    return search.nearest(stored, _label_means(stored), "vec_id", "embedding", "label", 5).select(
+        F.col("query_id").alias("label"), "vec_id", "rank", _r("cosine"))
+
+
+def knn_cells(spark, sf_dir):
+    """The same from vectors stored in cells."""
+    stored = inputs.table(spark, sf_dir, "embeddings")
+    index = vector_cells.build(stored, "vec_id", "embedding", f"{session_dir(spark)}/cells-{uuid.uuid4().hex}")
+    return vector_cells.nearest(index, _label_means(stored), "label", "embedding", 5, "vec_id").select(
         F.col("query_id").alias("label"), "vec_id", "rank", _r("cosine"))
 
 
@@ -257,7 +268,7 @@ QUERIES = {f.__name__: f for f in (
     tokenize_ws, tokenize_alnum, hash_bucket, snippet, hard_split_chunks, chunk_id, chunk_text,
     infer_source_type, verbalize_rows, corpus_union, corpus_stats, corpus_append, front_matter,
     postings, term_stats, index_append, index_retract, hash_embeddings, index_roundtrip, query_candidates, candidate_filter,
-    bm25_scores, dense_scores, hybrid_scores, topk_hybrid, mmr_rerank, knn_cosine)}
+    bm25_scores, dense_scores, hybrid_scores, topk_hybrid, mmr_rerank, knn_cosine, knn_cells)}
 
 _SUFFIX = "round({0} + 1e-9::DOUBLE, 6) AS {1}"
 ORACLES = {
@@ -363,3 +374,4 @@ ORACLES = {
         SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY c DESC, vec_id) - 1 AS rank,
                round(c + 1e-9::DOUBLE, 6) AS cosine FROM d QUALIFY rank < 5""",
 }
+ORACLES["knn_cells"] = ORACLES["knn_cosine"]
