@@ -12,7 +12,9 @@ the path. So no subset of columns is ever listed. The shares come from the rows
 as background: Spark counts them per leaf, and the values of a row add up to its score minus the
 mean score of the background.
 
-Only the model goes through the driver. Rows are explained where they lie.
+Only the model goes through the driver. Rows that lie between the same marks of all columns go the
+same way in every tree, so each such cell is counted and explained once, however many rows it has,
+and rows get the values of their cell.
 """
 
 import re
@@ -28,6 +30,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from procwatch.session import materialize
+
+CELLS_A_TASK = 1000
 _SPLIT = re.compile(r"If \(feature (\d+) <= (\S+)\)")
 
 
@@ -71,20 +76,22 @@ def _point(low: dict[int, float], high: dict[int, float], width: int) -> list[fl
             else float(np.nextafter(low[j], np.inf)) if j in low else 0.0 for j in range(width)]
 
 
-def leaf_counts(model, rows: DataFrame) -> dict[tuple[int, int], int]:
-    """Background rows per tree and leaf, counted by Spark; as many numbers as the model has leaves."""
+def leaf_counts(model, rows: DataFrame, weight: str | None = None) -> dict[tuple[int, int], int]:
+    """Background rows (or the sum of their `weight`) per tree and leaf, counted by Spark; as many
+    numbers as the model has leaves."""
     with_leaf = model.copy().setLeafCol("_leaf").transform(rows)
-    met = with_leaf.select(F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-    counts = met.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n"))
+    n = F.col(weight) if weight else F.lit(1)
+    met = with_leaf.select(n.alias("_n"), F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
+    counts = met.groupBy("tree", "leaf").agg(F.sum("_n").alias("n"))
     return {(r["tree"], int(r["leaf"])): r["n"] for r in counts.collect()}
 
 
-def leaves(model, rows: DataFrame) -> list[Leaf]:
+def leaves(model, rows: DataFrame, weight: str | None = None) -> list[Leaf]:
     """All leaves of a fitted ensemble, with shares of the background `rows` (assembled columns)."""
     forest = isinstance(model, RandomForestClassificationModel)
     if not forest and not isinstance(model, GBTClassificationModel):
         raise ValueError("only ensembles of trees are explained")
-    counts, width, found = leaf_counts(model, rows), model.numFeatures, []
+    counts, width, found = leaf_counts(model, rows, weight), model.numFeatures, []
     weights = [1.0 / len(model.trees)] * len(model.trees) if forest else model.treeWeights
 
     for number, (tree, weight) in enumerate(zip(model.trees, weights)):
@@ -148,6 +155,36 @@ def shapley(found: list[Leaf], x: np.ndarray) -> np.ndarray:
     return out
 
 
+def marks(model) -> list[np.ndarray]:
+    """Per column all marks at which some tree splits, in order."""
+    found: list[set[float]] = [set() for _ in range(model.numFeatures)]
+    for tree in model.trees:
+        for column, mark in _SPLIT.findall(tree.toDebugString):
+            found[int(column)].add(float(mark))
+    return [np.array(sorted(values)) for values in found]
+
+
+def _with_cell(rows: DataFrame, columns: list[str], at: list[np.ndarray]) -> DataFrame:
+    """`rows` with `_cell`: per column how many marks lie below the value; all, where it is missing."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("_cell", T.ArrayType(T.IntegerType()))])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.stack([np.searchsorted(m, batch[c].cast(pa.float64()).to_numpy(zero_copy_only=False))
+                              for c, m in zip(columns, at)], 1).astype(np.int32)
+            ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(columns))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.ListArray.from_arrays(ends, pa.array(found.reshape(-1)))], names=schema.names)
+
+    return rows.mapInArrow(place, schema)
+
+
+def _points(cells: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
+    """A row that lies in each of the cells."""
+    return np.stack([np.append(m, np.nextafter(m[-1], np.inf) if len(m) else 0.0)[cells[:, j]]
+                     for j, m in enumerate(at)], 1)
+
+
 def contributions(pipeline: PipelineModel, rows: DataFrame, background: DataFrame, columns: list[str]) -> DataFrame:
     """`rows` with `base`, `raw_score` and one column `c_<name>` for each column of the model.
 
@@ -156,18 +193,36 @@ def contributions(pipeline: PipelineModel, rows: DataFrame, background: DataFram
     count as the model counts them. An empty background gives each side of a split half.
     """
     model = pipeline.stages[-1]
-    assembled = PipelineModel(stages=pipeline.stages[:-1])
-    found = leaves(model, assembled.transform(background))
-    base, kept = base_value(found), rows.columns
+    if not isinstance(model, (RandomForestClassificationModel, GBTClassificationModel)):
+        raise ValueError("only ensembles of trees are explained")
+    assembled, at = PipelineModel(stages=pipeline.stages[:-1]), marks(model)
+    counted = _with_cell(background.select(*columns), columns, at).groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    value = [T.StructField(name, T.DoubleType()) for name in columns]
+    pointed = T.StructType([*value, T.StructField("_n", T.LongType())])
+
+    def cells_of(batch: pa.RecordBatch) -> np.ndarray:
+        return batch["_cell"].flatten().to_numpy(zero_copy_only=False).reshape(-1, len(columns))
+
+    def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _points(cells_of(batch), at)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, x.T.copy()), batch["_n"]], names=pointed.names)
+
+    found = leaves(model, assembled.transform(materialize(counted.mapInArrow(point, pointed), "background-cells")), "_n")
+    base = base_value(found)
     added = ["base", "raw_score", *[f"c_{name}" for name in columns]]
-    schema = T.StructType([*rows.schema.fields, *[T.StructField(name, T.DoubleType()) for name in added]])
+    placed = materialize(_with_cell(rows, columns, at), "placed-rows")
+    explained = T.StructType([placed.schema["_cell"], *[T.StructField(name, T.DoubleType()) for name in added]])
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([batch[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns], 1)
-            values = shapley(found, x)
+            values = shapley(found, _points(cells_of(batch), at))
             yield pa.RecordBatch.from_arrays(
-                [*[batch[c] for c in kept], pa.array(np.full(len(x), base)), pa.array(base + values.sum(1)),
-                 *[pa.array(values[:, i]) for i in range(len(columns))]], names=schema.names)
-
-    return rows.mapInArrow(explain, schema)
+                [batch["_cell"], pa.array(np.full(len(values), base)), pa.array(base + values.sum(1)),
+                 *[pa.array(values[:, i]) for i in range(len(columns))]], names=explained.names)
+
+    # a cell costs as much as the model is large, so few of them make a task
+    cells = placed.select("_cell").distinct()
+    cells = materialize(cells.repartition(max(1, -(-cells.count() // CELLS_A_TASK)), "_cell").mapInArrow(
+        explain, explained), "explained-cells")
+    return placed.join(cells, "_cell").select(*rows.columns, *added)

@@ -104,3 +104,19 @@ def test_a_tree_of_one_leaf_adds_nothing(rows):
 def test_other_models_are_refused(rows):
     with pytest.raises(ValueError):
         contributions.contributions(_fit(rows, LinearSVC(featuresCol="_x")), rows, rows, COLUMNS)
+
+
+def test_a_cell_is_explained_once(rows, monkeypatch):
+    model, seen = _fit(rows, MODELS["forest"]()), {}
+    real = contributions.materialize
+
+    def noted(df, label, *partition):
+        seen[label] = real(df, label, *partition)
+        return seen[label]
+
+    monkeypatch.setattr(contributions, "materialize", noted, raising=False)
+    many = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    got = contributions.contributions(model, many, many, COLUMNS)
+    assert got.count() == 5 * 240 and got.columns[:6] == [*rows.columns, "copy"]
+    assert seen["explained-cells"].count() <= 240
+    assert got.groupBy("id").agg(F.countDistinct("raw_score", "c_a", "c_b", "c_c").alias("n")).where("n > 1").count() == 0
