@@ -1,72 +1,66 @@
 """Splitting texts into chunks, and reading a document's front matter."""
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from procwatch import fixed_values as fv
-from procwatch.functions.text import strip, words
+from procwatch.functions.text import strip
 
 PARAGRAPH_BREAK = f"\n{fv.WHITE_SPACE}*\n"
 LINE_BREAK = "\r\n|\n|\r"
+_TEXTS = 64  # that are Python strings at a time
 
 
-def _join(items: Column) -> Column:
-    return F.array_join(items, " ")
-
-
-def _n_words(text: Column) -> Column:
-    return F.size(words(text))
-
-
-def paragraphs(text: Column, separator: str = PARAGRAPH_BREAK) -> Column:
-    return F.filter(F.transform(F.split(text, separator), strip), lambda p: p != "")
-
-
-def pack_paragraphs(paras: Column, size: int, overlap: int) -> Column:
+def pack_paragraphs(paras: list[str], size: int, overlap: int) -> list[str]:
     """Fill chunks greedily with whole paragraphs.
 
     A paragraph that would push a chunk over `size` words closes it; the next chunk
-    starts with the last `overlap` words of the closed one. The fold runs inside
-    the row: chunks so far, the open one, its word count.
+    starts with the last `overlap` words of the closed one. The words of a paragraph are
+    split once.
     """
-    start = F.struct(F.array().cast("array<string>").alias("done"),
-                     F.lit("").alias("open"), F.lit(0).alias("n"))
-
-    def add(acc: Column, para: Column) -> Column:
-        n = _n_words(para)
-        closes = (acc["n"] + n > size) & (acc["open"] != "")
-        open_words = words(acc["open"])
-        tail_words = F.slice(open_words, F.greatest(F.size(open_words) - overlap + 1, F.lit(1)),
-                             overlap)
-        kept = F.when(~closes, acc["open"]).otherwise(_join(tail_words))
-        return F.struct(
-            F.when(closes, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"])
-            .alias("done"),
-            F.when(kept == "", para).otherwise(F.concat(kept, F.lit("\n\n"), para)).alias("open"),
-            (F.when(~closes, acc["n"]).otherwise(F.size(tail_words)) + n).alias("n"))
-
-    return F.aggregate(paras, start, add, lambda acc: F.when(
-        acc["open"] != "", F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))
-
-
-def hard_split(chunk: Column, size: int, overlap: int) -> Column:
+    done: list[str] = []
+    parts: list[str] = []      # of the open chunk
+    held: list[str] = []       # its words
+    for para in paras:
+        new = para.split()
+        if parts and len(held) + len(new) > size:
+            done.append("\n\n".join(parts))
+            held = held[max(len(held) - overlap, 0):] if overlap > 0 else []
+            parts = [" ".join(held)] if held else []
+        parts.append(para)
+        held += new
+    return [*done, "\n\n".join(parts)] if parts else done
+
+
+def hard_split(chunk: str, size: int, overlap: int) -> list[str]:
     """A chunk of more than 1.5 x `size` words as overlapping slices of `size` words."""
-    all_words = words(chunk)
-
-    def cut(w: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(w) - 1, F.lit(size - overlap))
-        slices = F.transform(starts, lambda i: _join(F.slice(w, i + 1, F.lit(size))))
-        return F.when(F.size(w) * 2 <= size * 3, F.array(chunk)).otherwise(slices)
-
-    # a one-element transform names the words, so that they are split once
-    return F.get(F.transform(F.array(all_words), cut), F.lit(0))
+    words = chunk.split()
+    if len(words) * 2 <= size * 3:
+        return [chunk]
+    if overlap >= size:
+        raise ValueError(f"an overlap of {overlap} words leaves no step for slices of {size}")
+    return [" ".join(words[i:i + size]) for i in range(0, len(words), size - overlap)]
 
 
 def chunk_text(text: Column, size: int = fv.CHUNK_WORDS, overlap: int = fv.CHUNK_OVERLAP,
                separator: str = PARAGRAPH_BREAK) -> Column:
-    """The chunks of a text: paragraphs packed to `size` words, oversized ones re-cut."""
-    paras = paragraphs(text, separator)
-    packed = F.when(F.size(paras) > 1, pack_paragraphs(paras, size, overlap)).otherwise(paras)
-    return F.flatten(F.transform(packed, lambda c: hard_split(c, size, overlap)))
+    """The chunks of a text: paragraphs packed to `size` words, oversized ones re-cut.
+
+    Spark splits the text; a fold of column expressions is interpreted step by step, so
+    paragraphs are packed in Python on Arrow batches, a few texts at a time. White space is
+    the same there: what `str.split` and `str.strip` take away is `WHITE_SPACE`.
+    """
+    def chunks(pieces: list[str] | None) -> list[str] | None:
+        if pieces is None:
+            return None
+        paras = [p for p in (piece.strip() for piece in pieces) if p]
+        return [c for packed in pack_paragraphs(paras, size, overlap) for c in hard_split(packed, size, overlap)]
+
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array((chunks(pieces) for at in range(0, len(texts), _TEXTS)
+                         for pieces in texts.slice(at, _TEXTS).to_pylist()), pa.list_(pa.string()))
+
+    return F.arrow_udf(cut, "array<string>")(F.split(text, separator))
 
 
 def _meta_lines(text: Column) -> Column:
