@@ -83,6 +83,13 @@ def test_chunks_of_odd_texts(spark):
     assert "ArrowEvalPython" in plan and "lambda" not in plan
 
 
+def test_cards_take_the_chunks_of_the_stored_index(spark):
+    from procwatch.plans import remedies
+    for name in ("card_citations", "card_context", "card_confidence"):
+        read = remedies.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert not [f for f in read if "documents.parquet" in f] and [f for f in read if "/index/" in f]
+
+
 def test_front_matter(spark):
     text = "---\nid: X-1 r2\nbad line\ntitle: 'A: b'\nid : \"X-2\"\n---\n\n# Body\ntext --- more\n"
     row = _one(spark, text, chunking.front_matter(F.col("t")).alias("m"), chunking.body(F.col("t")).alias("b"))
