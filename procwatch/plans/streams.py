@@ -15,6 +15,7 @@ from procwatch.sources import tables, telemetry
 from procwatch.streaming import breaches, keyed
 
 TO_THE_END = {"availableNow": True}
+FILE_ROWS = 50_000  # of a file of readings that arrive
 
 
 def _sent(spark, sf_dir):
@@ -97,14 +98,24 @@ def two_topics(spark, sf_dir):
     return reduce(DataFrame.unionByName, counts)
 
 
-def _in_parts(spark, rows, at, n_parts=5):
-    """`rows` as files of JSON lines that arrive in order of their column `at`; its folder and fields."""
+def _in_order(spark, rows, order, at=()):
+    """`rows` as files of JSON lines that arrive in order of the columns `order`; their folder and fields.
+
+    Ranges of the order are sorted and cut into files of at most `FILE_ROWS` rows, five files at least.
+    A stream takes files by their time, a limited number at a time, so each gets a time of its own: no
+    reading arrives before one that it follows, and a micro-batch is bounded, however many there are.
+    Columns `at` are for the order only.
+    """
     folder = f"{session_dir(spark)}/arriving-{uuid.uuid4().hex}"
-    first, last = rows.agg(F.min(at), F.max(at)).first()
-    part = F.least(F.floor((F.col(at) - first) * n_parts / max(last - first, 1)), F.lit(n_parts - 1))
-    for i in range(n_parts):  # one after the other, as files are read in order of their time
-        rows.where(part == i).drop(at).write.mode("append").json(f"{folder}/in")
-    return folder, rows.drop(at).schema
+    limit = max(1, min(FILE_ROWS, rows.count() // 5))
+    (rows.repartitionByRange(*order).sortWithinPartitions(*order).drop(*at)
+     .write.option("maxRecordsPerFile", limit).json(f"{folder}/in"))
+    files, path = file_system(spark, f"{folder}/in")
+    arriving = sorted((f.getPath() for f in files.globStatus(path.suffix("/part-*"))), key=lambda p: p.getName())
+    start = int(time.time() * 1000) - 1000 * len(arriving)
+    for i, one in enumerate(arriving):
+        files.setTimes(one, start + 1000 * i, -1)
+    return folder, rows.drop(*at).schema
 
 
 def _closed(spark, folder):
@@ -122,7 +133,7 @@ def stream_idle(spark, sf_dir):
     """
     readings = inputs.telemetry(spark, sf_dir).select("param", "ts", "value", "asset", "batch_id", "zone")
     lag = F.when(F.col("param") == "hum", 86_400_000_000).otherwise(0)
-    folder, schema = _in_parts(spark, readings.withColumn("at", F.unix_micros("ts") + lag), "at")
+    folder, schema = _in_order(spark, readings.withColumn("at", F.unix_micros("ts") + lag), ["at"], ["at"])
     n_rows = readings.where("ts IS NOT NULL").count()
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).json(f"{folder}/in")
     query = keyed.start(arriving, bands.dimension(spark), f"{folder}/out", f"{folder}/check", size=CHECK_WINDOW,
@@ -144,7 +155,7 @@ def stream_rolling(spark, sf_dir):
     """Trailing features of each reading, made as readings arrive."""
     readings = inputs.telemetry_with_features(spark, sf_dir).select(
         "param", F.unix_micros("ts").alias("ts"), "event_id", "value", F.element_at("features", "k").alias("k"))
-    folder, schema = _in_parts(spark, readings.withColumn("at", F.col("ts")), "at")
+    folder, schema = _in_order(spark, readings, ["ts", "event_id"])
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).json(f"{folder}/in")
     (keyed.online_rolling(arriving, ["ts", "event_id"], features=["k"]).writeStream.outputMode("append")
      .format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check")
