@@ -56,3 +56,37 @@ def test_large_batches_are_counted_in_pieces(monkeypatch):
 def test_arrow_splits_at_white_space():
     texts = pa.array([f"a{chr(c)}b" for c in range(1, 0x110000) if not 0xd800 <= c < 0xe000])
     assert pc.utf8_split_whitespace(texts).equals(pc.split_pattern_regex(texts, f"{fv.WHITE_SPACE}+"))
+
+
+def test_term_counts_take_one_pass(spark, monkeypatch):
+    from procwatch.plans import inputs, knowledge
+    made = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    chunks = _chunks(spark)
+    monkeypatch.setattr(inputs, "document_chunks", lambda *_: chunks.mapInArrow(through, chunks.schema))
+    got = {r["term"]: (r["df"], r["n_chunks"], r["avg_words"]) for r in knowledge.term_stats(spark, "").collect()}
+    assert made.value == 60
+    assert got["valve"][0] == got["x"][0] == 60 and got["7"][0] == 1
+    assert len(got) == 4 + 60 and {v[1:] for v in got.values()} == {(60, 6.0)}
+    monkeypatch.setattr(inputs, "document_chunks", lambda *_: chunks.limit(0))
+    assert knowledge.term_stats(spark, "").count() == 0
+
+
+def test_postings_and_vectors_are_made_alone(spark, monkeypatch):
+    from procwatch.plans import inputs, knowledge
+    chunks = _chunks(spark)
+    entries = index.index_chunks(chunks)
+    monkeypatch.setattr(inputs, "document_chunks", lambda *_: chunks)
+    monkeypatch.setattr(index, "index_chunks", None)  # the whole entries are not needed
+
+    def rows(df):
+        return sorted(map(tuple, df.collect()))
+
+    assert rows(knowledge.postings(spark, "")) == rows(index.postings(entries))
+    assert rows(index.chunk_vectors(chunks)) == rows(index.vectors(entries))
+    assert knowledge.hash_embeddings(spark, "").columns == ["chunk_id", "bucket", "n", "weight"]
