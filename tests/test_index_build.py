@@ -90,3 +90,21 @@ def test_postings_and_vectors_are_made_alone(spark, monkeypatch):
     assert rows(knowledge.postings(spark, "")) == rows(index.postings(entries))
     assert rows(index.chunk_vectors(chunks)) == rows(index.vectors(entries))
     assert knowledge.hash_embeddings(spark, "").columns == ["chunk_id", "bucket", "n", "weight"]
+
+
+def test_append_and_retract_cut_documents_once(spark, monkeypatch):
+    from procwatch.plans import inputs, knowledge
+    for query in (knowledge.index_append, knowledge.index_retract):
+        made = spark.sparkContext.accumulator(0)
+
+        def through(batches, made=made):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        chunks = _chunks(spark).withColumn("source_type", F.when(F.substring("chunk_id", 2, 2) % 3 == 0, "deviation")
+                                           .otherwise(F.col("source_type")))
+        monkeypatch.setattr(inputs, "document_chunks", lambda *_: chunks.mapInArrow(through, chunks.schema))
+        got = {r["term"]: (r["df"], r["n_chunks"]) for r in query(spark, "").collect()}
+        assert made.value == 60, query.__name__
+        assert got["valve"] == (60, 60) and len(got) == 64
