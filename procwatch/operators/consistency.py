@@ -11,7 +11,6 @@ with the logarithm of the number of segments.
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -37,25 +36,38 @@ def nodes(leaves: DataFrame, chain: str, span: int = SPAN) -> DataFrame:
     """All nodes over the leaves (chain, level, place, hash), `span` levels at a time.
 
     A node is there once both its halves are. Each step is one shuffle of 2**-span of the nodes
-    of the step before.
+    of the step before. A task takes its nodes in order and keeps one waiting left half a level, so
+    neither many short chains nor a long one cost more than their nodes.
     """
-    schema = leaves.schema
-
-    def climb(group: pd.DataFrame) -> pd.DataFrame:
-        level, made = int(group["level"].iloc[0]), []
-        row = dict(zip(group["place"].tolist(), group["hash"]))
-        for up in range(1, span + 1):
-            row = {p >> 1: _parent(h, row[p + 1]) for p, h in row.items() if p % 2 == 0 and p + 1 in row}
-            made += [(level + up, place, value) for place, value in sorted(row.items())]
-        out = pd.DataFrame(made, columns=["level", "place", "hash"])
-        out.insert(0, chain, pd.Series([group[chain].iloc[0]] * len(out), dtype=group[chain].dtype))
-        return out
+    schema, columns = leaves.schema, leaves.columns
+
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, at = {}, None
+        for batch in batches:
+            of, made = batch[chain].to_pylist(), []
+            for i, (key, level, place, value) in enumerate(
+                    zip(of, *[batch[c].to_pylist() for c in ("level", "place", "hash")])):
+                if key != at and (key == key or at == at):  # a NaN is a chain like any other
+                    waiting, at = {}, key
+                top = level + span
+                while level < top and place & 1 and waiting.get(level, (None,))[0] == place - 1:
+                    value = _parent(waiting[level][1], value)
+                    level, place = level + 1, place >> 1
+                    made.append((i, level, place, value))
+                if not place & 1:
+                    waiting[level] = place, value
+            row, levels, places, hashes = zip(*made) if made else ((), (), (), ())
+            found = {"level": levels, "place": places, "hash": hashes}
+            yield pa.RecordBatch.from_arrays(
+                [batch[c].take(pa.array(row, pa.int64())) if c == chain else pa.array(found[c], batch[c].type)
+                 for c in columns], names=columns)
 
     current = materialize(leaves, "consistency-leaves")
     out, level = current, 0
     while not current.isEmpty():
-        above = materialize(current.groupBy(chain, F.shiftright("place", span).alias("_group"))
-                            .applyInPandas(climb, schema), "consistency-nodes")
+        placed = current.withColumn("_group", F.shiftright("place", span)).repartition(chain, "_group")
+        above = materialize(placed.sortWithinPartitions(chain, "_group", "place").select(*columns)
+                            .mapInArrow(climb, schema), "consistency-nodes")
         out, level = out.unionByName(above), level + span
         current = above.where(F.col("level") == level)
     return out
